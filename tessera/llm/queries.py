@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.packing import packing
+from tessera.llm.quality_rules import quality_rules
 from tessera.llm.token_counts import token_counts
+from tessera.llm import url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": packing,
         "op3_token_counts": token_counts,
+        "op4_quality_rules": quality_rules,
+        "op8_url_filters": url_filters.url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_url_filters": url_filters.SQL,
+    }
