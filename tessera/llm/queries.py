@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.packing import packing
+from tessera.llm.quality_classifier import quality_classifier
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.token_counts import token_counts
+from tessera.llm.toxicity import toxicity
 from tessera.llm import url_filters
 
 
@@ -17,11 +19,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing,
         "op3_token_counts": token_counts,
         "op4_quality_rules": quality_rules,
+        "op5_quality_classifier": quality_classifier,
         "op8_url_filters": url_filters.url_filters,
+        "op10_toxicity": toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_quality_classifier": quality_classifier,
         "op8_url_filters": url_filters.SQL,
     }
