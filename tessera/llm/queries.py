@@ -11,7 +11,7 @@ from tessera.llm.quality_classifier import quality_classifier
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
-from tessera.llm import url_filters
+from tessera.llm import url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": token_counts,
         "op4_quality_rules": quality_rules,
         "op5_quality_classifier": quality_classifier,
+        "op6_warc": warc.warc,
         "op8_url_filters": url_filters.url_filters,
         "op10_toxicity": toxicity,
     }
@@ -28,5 +29,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_classifier": quality_classifier,
+        "op6_warc": warc.SQL,
         "op8_url_filters": url_filters.SQL,
     }
