@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.packing import packing
 from tessera.llm.quality_classifier import quality_classifier
 from tessera.llm.quality_rules import quality_rules
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality_rules,
         "op5_quality_classifier": quality_classifier,
         "op6_warc": warc.warc,
+        "op7_jaccard_join": jaccard_join,
         "op8_url_filters": url_filters.url_filters,
         "op10_toxicity": toxicity,
     }
