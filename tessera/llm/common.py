@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python step looks at in one go; longer texts get a slice of their own.
@@ -55,6 +56,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder, for Python workers, and the path there."""
+    if uri.startswith("/"):
+        return fs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % F.lit(n)

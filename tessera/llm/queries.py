@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.jaccard_join import jaccard_join
+from tessera.llm.katz import lm_scoring
 from tessera.llm.packing import packing
 from tessera.llm.quality_classifier import quality_classifier
 from tessera.llm.quality_rules import quality_rules
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_warc": warc.warc,
         "op7_jaccard_join": jaccard_join,
         "op8_url_filters": url_filters.url_filters,
+        "op9_lm_scoring": lm_scoring,
         "op10_toxicity": toxicity,
     }
 

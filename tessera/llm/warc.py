@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm.common import load, materialise, shared_path, ship
+from tessera.llm.common import load, materialise, open_folder, shared_path, ship
 
 BLOCK_LINES = 256
 #: Payload bytes that one archive holds, about.
@@ -47,13 +47,6 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _folder(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("/"):
-        return fs.LocalFileSystem(), uri
-    found, path = fs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
-    return found, path
-
-
 def record(page: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record; a revisit has no payload of its own."""
     kind = "response" if refers_to is None else "revisit"
@@ -106,7 +99,7 @@ def write(caps: DataFrame, folder: str | None = None, archives: int | None = Non
     n = archives or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        store, root = _folder(folder)
+        store, root = open_folder(folder)
         store.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
         mine = f"{root}/.{name}.{uuid.uuid4().hex}"
@@ -156,7 +149,7 @@ def read(directory: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                store, path = _folder(row["archive"])
+                store, path = open_folder(row["archive"])
                 with store.open_input_file(path + ".idx") as f:
                     lines = gzip.decompress(f.read_at(row["index_length"], row["index_offset"])).decode().splitlines()
                 yield from _fetch(store, path, [x.split("\t") for x in lines], row["archive"], names)
@@ -206,7 +199,7 @@ class CaptureIndex:
         while at < len(self.blocks) and self.first[at] <= high:
             block = self.blocks[at]
             if block["last"] >= low:
-                store, path = _folder(block["archive"])
+                store, path = open_folder(block["archive"])
                 with store.open_input_file(path + ".idx") as f:
                     lines = [x.split("\t") for x in gzip.decompress(f.read_at(block["index_length"], block["index_offset"])).decode().splitlines()]
                 keys = [x[0] for x in lines]
