@@ -197,10 +197,10 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def text_of(df: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
-    """The key, further columns and the text as bytes under fixed names; whatever else ``df`` holds stays out."""
+def text_of(df: DataFrame, key: str = "doc_id", text: str = "text", *more: str, lower: bool = False) -> DataFrame:
+    """The key, further columns and the text as bytes under fixed names; whatever else ``df`` holds stays out. lower: all letters, not A-Z alone."""
     ship(df.sparkSession)
-    return df.select(F.col(key).alias("key"), *(F.col(c) for c in more), F.col(text).cast("string").cast("binary").alias("body"))
+    return df.select(F.col(key).alias("key"), *(F.col(c) for c in more), (F.lower(F.col(text).cast("string")) if lower else F.col(text).cast("string")).cast("binary").alias("body"))
 
 
 def binary_rows(parts: list[bytes]) -> pa.Array:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontamination import decontamination
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.katz import lm_scoring
 from tessera.llm.packing import packing
@@ -18,6 +19,7 @@ from tessera.llm import url_filters, warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination,
         "op2_packing": packing,
         "op3_token_counts": token_counts,
         "op4_quality_rules": quality_rules,

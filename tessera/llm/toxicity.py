@@ -78,7 +78,7 @@ def character_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
-    got = text_of(docs, key, text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    got = text_of(docs, key, text, lower=True).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << 15)
     if len(got):
         out[got["gram"].to_numpy()] = got["n"].to_numpy()
@@ -239,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, key: s
     marks = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull() & (fold(key, 5) != 0)).groupBy(F.col(key).alias("lab_key")).agg(F.max("toxic").cast("int").alias("y"))
     ranked = marks.withColumn("rank", F.xxhash64("lab_key"))
     chosen = ranked.where("y = 1").orderBy("rank", "lab_key").limit(max_train).union(ranked.where("y = 0").orderBy("rank", "lab_key").limit(2 * max_train))
-    sample = materialise(text_of(docs, key, text).join(F.broadcast(chosen.select("lab_key", "y")), F.col("key") == F.col("lab_key")).select("y", "body"), "toxic-sample")
+    sample = materialise(text_of(docs, key, text, lower=True).join(F.broadcast(chosen.select("lab_key", "y")), F.col("key") == F.col("lab_key")).select("y", "body"), "toxic-sample")
 
     def run(batches):
         for batch in batches:
@@ -306,7 +306,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.5, key: str = "
             for lo, hi, buf, offsets in slices(batch.column("body")):
                 yield pa.RecordBatch.from_arrays([batch.column("key")[lo:hi].cast(pa.int64()), pa.array(model.score(Words(buf, offsets)))], names=["key", "score"])
 
-    scored = text_of(docs, key, text).mapInArrow(run, "key long, score double")
+    scored = text_of(docs, key, text, lower=True).mapInArrow(run, "key long, score double")
     return scored.select(F.col("key").alias(key), F.coalesce(fold("key", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -322,7 +322,7 @@ def restore(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     by[w].append(t)
                 yield pa.RecordBatch.from_arrays([batch.column("key")[lo:hi].take(pa.array(list(by), pa.int64())).cast(pa.int64()), pa.array(list(by.values()), pa.list_(pa.string()))], names=["key", "restored"])
 
-    return text_of(docs, key, text).mapInArrow(run, "key long, restored array<string>").withColumnRenamed("key", key)
+    return text_of(docs, key, text, lower=True).mapInArrow(run, "key long, restored array<string>").withColumnRenamed("key", key)
 
 
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
