@@ -1,7 +1,7 @@
 """Streams of finished tiles: rows that are complete, and bands in order.
 
-Completion is by count, not by time: a row is done when all its tiles are, and state is given up after it was told. Rows that
-never get whole are told as late after a timeout.
+Completion is by count, not by time: a row is done when all its tiles are. With a timeout, state is given up after it, and rows
+that never got whole are told as partial; without one, a told row keeps an empty state.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "row long, tiles long, at long, status string"
 
 
-def completed_rows(done: DataFrame, columns: int, timeout_ms: int = 3_600_000) -> DataFrame:
+def completed_rows(done: DataFrame, columns: int, timeout_ms: int | None = None) -> DataFrame:
     """done: a stream of (row, tile, at). Emits each row once, when its last tile arrives; repeats of a tile are ignored.
 
-    State is a bit mask, a count and the latest time, one for each open row. Told rows keep an empty mask until the timeout, so that late
-    repeats don't open them again."""
+    State is a bit mask and the latest time, one for each row; told rows keep it, so that late repeats don't open them again."""
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         row = int(key[0])
@@ -38,11 +37,12 @@ def completed_rows(done: DataFrame, columns: int, timeout_ms: int = 3_600_000) -
                     at = max(at, int(t))
         full = mask.bit_count() == columns
         state.update((str(mask), at, bool(told or full)))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         if full and not told:
             yield pd.DataFrame({"row": [row], "tiles": [columns], "at": [at], "status": ["whole"]})
 
-    return done.groupBy("row").applyInPandasWithState(step, OUT, "mask string, at long, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return done.groupBy("row").applyInPandasWithState(step, OUT, "mask string, at long, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def in_order(write_band, first: int = 0):
