@@ -134,3 +134,40 @@ def filter_documents(docs: DataFrame, **columns: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_documents(load(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same rows in SQL, for tables whose ids are unique."""
+    values = {"symbols": "n_symbols * 1000 // greatest(n_words, 1)", "chars": "word_chars * 1000 // greatest(n_words, 1)", "dup_lines": "n_dup_lines * 1000 // greatest(n_lines, 1)", "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)"}
+    long = " union all ".join(f"select lang, source, '{k}' measure, {v} v from m where n_words > 0" for k, v in values.items())
+    low = lambda share: f"min(bucket) filter (upto * 4 >= total * {share})"
+    least = lambda b: f"case when {b} < 64 then {b} else ({b} % 32 + 32) << ({b} // 32 - 1) end"
+    times = "case measure " + " ".join(f"when '{k}' then {t}" for k, (t, _, _) in MEASURES.items()) + " end"
+    width = "case measure " + " ".join(f"when '{k}' then {w}" for k, (_, w, _) in MEASURES.items()) + " end"
+
+    def fences(name: str, by: str) -> str:
+        keys = by + ", " if by else ""
+        return f"""{name}_r as (select {keys}measure, bucket, sum(sum(n)) over (partition by {keys}measure order by bucket) upto, sum(sum(n)) over (partition by {keys}measure) total from s group by {keys}measure, bucket),
+{name}_q as (select {keys}measure, max(total) total, {low(1)} b1, {low(3)} b3 from {name}_r group by {keys}measure),
+{name}_f as (select {keys}measure, total, {least('b1')} q1, {least('b3')} q3 from {name}_q),
+{name} as (select {keys}measure, total, q3 + ({times}) * (q3 - q1) + {width} hi, q1 - ({times}) * (q3 - q1) - {width} lo from {name}_f)"""
+
+    inside = " and ".join(f"{v} <= t.{k}_hi" + (f" and {v} >= t.{k}_lo" if MEASURES[k][2] else "") for k, v in values.items())
+    wide = ", ".join(f"max({c}) filter (measure = '{k}') {k}_{c}" for k in MEASURES for c in ("hi", "lo"))
+    return rf"""with d as (select doc_id, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') body from documents),
+w as (select *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') words, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines from d),
+g as (select doc_id, i, words[i:i + 4] win from w, unnest(range(1, len(words) - 3)) t(i)),
+c as (select doc_id, i, count(*) over (partition by doc_id, win) n from g),
+r as (select doc_id, count(distinct i + k) n_repeat_words from c, range(0, 5) t(k) where n > 1 group by doc_id),
+m as (select w.doc_id, lang, source, len(words)::bigint n_words, length(array_to_string(words, ''))::bigint word_chars, (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::bigint n_symbols,
+  len(lines)::bigint n_lines, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(n_repeat_words, 0)::bigint n_repeat_words from w left join r on w.doc_id = r.doc_id),
+l as ({long}),
+s as (select lang, source, measure, case when v < 64 then v else (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) end bucket, count(*) n from l group by all),
+{fences("own", "lang, source")}, {fences("byl", "lang")}, {fences("every", "")},
+p as (select own.lang, own.source, measure, case when own.total >= {MIN_DOCS} then own.hi when byl.total >= {MIN_DOCS} then byl.hi else every.hi end hi, case when own.total >= {MIN_DOCS} then own.lo when byl.total >= {MIN_DOCS} then byl.lo else every.lo end lo from own join byl using (lang, measure) join every using (measure)),
+t as (select lang, source, {wide} from p group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and coalesce({inside}, true) kept from m left join t using (lang, source)"""
+
+
+SQL = _sql()

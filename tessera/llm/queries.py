@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import quality_rules as rules, url_filters, warc
 from tessera.llm.decontamination import decontamination
 from tessera.llm.jaccard_join import jaccard_join
 from tessera.llm.katz import lm_scoring
@@ -14,7 +15,7 @@ from tessera.llm.quality_classifier import quality_classifier
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
-from tessera.llm import url_filters, warc
+
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,7 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op5_quality_classifier": quality_classifier,
+        "op4_quality_rules": rules.SQL,
         "op6_warc": warc.SQL,
         "op8_url_filters": url_filters.SQL,
     }
