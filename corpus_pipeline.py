@@ -7,12 +7,12 @@ but the last return the columns of ``documents``. A table without rows passes th
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import decontamination, jaccard_join, packing, quality_classifier, toxicity
-from tessera.llm.common import load, materialise
-
+from tessera.llm.common import discard, forget, load, materialise
 
 #: Rejected ids that are broadcast at most (8 bytes each); more are joined by id.
 BROADCAST_IDS = 1_000_000
@@ -24,29 +24,53 @@ def _only(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
 
 
+def _stage(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A later stage begins when the one before was written and read back, so that one's intermediate tables can go."""
+
+    @wraps(step)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if step.__name__ != "quality":
+            discard(spark, _left)
+        forget()
+        out = step(spark, docs, sf_dir)
+        _left[:] = forget()
+        return out
+
+    return run_stage
+
+
+#: Intermediate tables of the last stage that was called.
+_left: list[str] = []
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score is below the classifier's threshold."""
     model = quality_classifier.fit(docs, load(spark, sf_dir, "labels"))
     return _only(docs, quality_classifier.classify(docs, model).where("predicted = 0"))
 
 
+@_stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are scored as toxic."""
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
     return _only(docs, toxicity.classify(docs, model).where("predicted = 1"))
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that shares 80 in 100 of its runs of five words, link by link, the document with the least id stays."""
     groups = jaccard_join.components(docs, n=5, threshold=80)
     return _only(docs, groups.where(F.col("component_id") != F.col("doc_id")))
 
 
+@_stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, copied or paraphrased."""
     return _only(docs, decontamination.decontaminate(docs, load(spark, sf_dir, "benchmark")))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
     return packing.digest(packing.pack(docs))

@@ -44,8 +44,29 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+#: Folders made since the last call of ``forget``.
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def forget() -> list[str]:
+    """The intermediate folders made since the last call, for ``discard`` once nothing reads them any more."""
+    out = list(_made)
+    _made.clear()
+    return out
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders, in whatever store they lie."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
