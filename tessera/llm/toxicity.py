@@ -50,11 +50,18 @@ _MARK[[ord(c) for c in "".join(LEET) + SEPARATORS if ord(c) < 128]] = True
 def cores(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of the words without marks at either end that are no letters."""
     starts, ends = words.starts.copy(), words.ends.copy()
+    if not len(starts):
+        return starts, ends
+    todo = np.flatnonzero(~_LETTER[words.buf[ends - 1]])
     for _ in range(4):
-        more = (ends > starts) & ~_LETTER[words.buf[np.maximum(ends - 1, 0)]]
-        ends -= more
-        more = (ends > starts) & ~_LETTER[words.buf[np.minimum(starts, len(words.buf) - 1)]]
-        starts += more
+        ends[todo] -= 1
+        todo = todo[ends[todo] > starts[todo]]
+        todo = todo[~_LETTER[words.buf[ends[todo] - 1]]]
+    todo = np.flatnonzero(~_LETTER[words.buf[starts]] & (ends > starts))
+    for _ in range(4):
+        starts[todo] += 1
+        todo = todo[ends[todo] > starts[todo]]
+        todo = todo[~_LETTER[words.buf[starts[todo]]]]
     return starts, ends
 
 
