@@ -7,16 +7,17 @@ before; a set takes part in its own class and the next, so that any two sets tha
 - Light sets (classes up to the boundary): all subsets that leave out few enough elements to be shared by any partner, one
   size for each class and set size, are enumerated; linked sets share one of them.
 - Heavy sets: elements are dealt by hash into d + 1 + e parts; linked sets agree in 1 + e parts whole at least. A part's content
-  is the key of an inverted list, which is scanned for candidates; each set leaves out its e smallest parts, which is safe, for
-  the largest part in which two sets agree is never among them. (Lists of single elements would hold a tenth of all documents
-  wherever a passage is shared; lists of whole parts hold near copies only.)
+  is the key of an inverted list, which is scanned for candidates; each set leaves out its e - 1 smallest parts, which is safe,
+  for the two largest parts in which two sets agree are never among them: linked sets meet in two lists at least. (Lists of
+  single elements would hold a tenth of all documents wherever a passage is shared; lists of whole parts hold mostly near copies.)
 - The boundary is the class where enumerating subsets, by the count of sets of each size, stops being cheaper than parts.
 
-Short lists give all their pairs. In long ones (groups of near copies) members are paired with a leader; once linked ones
-are joined in components, members outside the largest are paired with further leaders, and at last every pair of members that
-are still in different components is tested, so that no link between components is lost. Candidates are verified on their whole
-sets. Elements are 46-bit hashes and sets are named by 64-bit hashes. No list is gathered: the sorted keys are read as a stream, and
-each task gives the keys of equal sets once.
+In each list, members are paired with the first and with the one before them in the order of names. Once linked ones are joined in
+components, lists of more than three members that are still in several components are refined by each other (for linked sets
+meet in two), and there every pair in different components is a candidate whose parity sketches differ in no more bits than
+linked sets differ in elements: a bound that never rejects a link. So no link between components is lost. Candidates are
+verified on their whole sets. Elements are 46-bit hashes and sets are named by 64-bit hashes. No list is gathered: the sorted
+keys are read as a stream, and each task gives the keys of equal sets once.
 
 A document without words (null and empty texts too) has an empty set and links with nothing. Ids should be unique; rows that
 repeat an id and text are one member of the group twice. An empty table gives an empty result; further columns are ignored.
@@ -39,16 +40,14 @@ N = 3
 THRESHOLD = 90
 #: Bits of an element's hash.
 BITS = 46
-#: Members up to which a list gives all its pairs.
-SHORT = 4
 #: Cost of a key of an inverted list, with the candidates it brings, against that of a subset.
 LIST_COST = 6
 #: Names of sets that a task remembers.
 SEEN = 1_000_000
 #: At most so many ids are broadcast (8 bytes each); more are joined.
 BROADCAST_IDS = 1_000_000
-#: Rounds of leaders before all remaining pairs are tested.
-LEADER_ROUNDS = 3
+#: Longs of a parity sketch.
+PARITY = 4
 
 
 def shingle_sets(words: Words, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +105,7 @@ class Scheme:
         return floor((100 - self.t) * 2 * self.upper[c] / (100 + self.t))
 
     def spare(self, c: int) -> int:
-        """Parts that each set leaves out: its smallest."""
+        """Parts beyond those that d differences can touch, and one."""
         return max(1, (self.differ(c) + 1) // 4)
 
     def parts(self, c: int) -> int:
@@ -127,7 +126,7 @@ class Scheme:
         return np.searchsorted(np.array(self.upper), size)
 
     def keys(self, g: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all sets, and the set of each."""
+        """Keys of all sets, odd for subsets and even for parts, and the set of each."""
         size = np.diff(bounds)
         out, who = [], []
         own = self.class_of(size)
@@ -145,7 +144,7 @@ class Scheme:
                     if len(row) < k:
                         continue
                     chosen = np.array(list(combinations(range(len(row)), k)))
-                    out.append(combine([np.full(len(chosen), c, np.uint64), *row[chosen].T]))
+                    out.append((combine([np.full(len(chosen), c, np.uint64), *row[chosen].T]) << np.uint64(1)) | np.uint64(1))
                     who.append(np.full(len(chosen), i))
                 continue
             p = self.parts(c)
@@ -159,8 +158,8 @@ class Scheme:
             number = np.tile(np.arange(p), len(sets))
             held = np.bincount(slot, minlength=len(sets) * p).reshape(len(sets), p)
             rank = np.argsort(np.argsort(held * p + np.arange(p), axis=1), axis=1).reshape(-1)
-            keep = rank >= self.spare(c)
-            out.append(combine([np.full(int(keep.sum()), c + (1 << 20), np.uint64), number[keep].astype(np.uint64), sums[keep]]))
+            keep = rank >= self.spare(c) - 1
+            out.append(combine([np.full(int(keep.sum()), c + (1 << 20), np.uint64), number[keep].astype(np.uint64), sums[keep]]) << np.uint64(1))
             who.append(np.repeat(sets, p)[keep])
         if not out:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -207,7 +206,7 @@ def _keyed(docs: DataFrame, scheme: Scheme, n: int) -> DataFrame:
 
 
 def scan_lists(keyed: DataFrame) -> DataFrame:
-    """sig, node, lead (the least node) for lists with two different nodes or more, from one pass over the sorted keys."""
+    """sig, node, lead (the least node) and prev (the node before) for lists with two different nodes or more, from one pass over the sorted keys."""
 
     def run(batches):
         sig = node = lead = None  # of the last row
@@ -233,24 +232,29 @@ def scan_lists(keyed: DataFrame) -> DataFrame:
                 member[0] = False
                 first[0] = first[0] and not told
             told = bool((told and place[-1] == 0 and sig is not None) or first[place[-1]])
-            out_node = np.concatenate([leads[first], x[member]])
-            if len(out_node):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[first], s[member]])), pa.array(out_node), pa.array(np.concatenate([leads[first], leads[member]]))], names=["sig", "node", "lead"])
+            prev = np.concatenate([x[:1], x[:-1]])
+            out = [np.concatenate(c) for c in ((s[first], s[member]), (leads[first], x[member]), (leads[first], leads[member]), (leads[first], prev[member]))]
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["sig", "node", "lead", "prev"])
             sig, node, lead = s[-1], x[-1], leads[-1]
 
-    return keyed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, lead long")
+    return keyed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, lead long, prev long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """node and its set as sorted 64-bit numbers. docs: key and body."""
+    """node, size, parity sketch, and the set as sorted 64-bit numbers. docs: key and body."""
 
     def run(batches):
         for batch in batches:
             for _, _, buf, offsets in slices(batch.column("body")):
                 g, bounds = shingle_sets(Words(buf, offsets), n)
-                yield pa.RecordBatch.from_arrays([pa.array(set_names(g, bounds, 0x1234567F)), ragged_bytes(g, bounds)], names=["node", "grams"])
+                size = np.diff(bounds)
+                slot = np.repeat(np.arange(len(size)), size) * (64 * PARITY) + (mix(g ^ np.uint64(0x0DD)) % np.uint64(64 * PARITY)).astype(np.int64)
+                odd = (np.bincount(slot, minlength=len(size) * 64 * PARITY) & 1).astype(np.uint8).reshape(len(size), PARITY, 64)
+                sketch = np.packbits(odd, axis=-1).view(np.int64).reshape(len(size), PARITY)
+                yield pa.RecordBatch.from_arrays([pa.array(set_names(g, bounds, 0x1234567F)), pa.array(size), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(PARITY)), ragged_bytes(g, bounds)], names=["node", "size", *(f"p{i}" for i in range(PARITY)), "grams"])
 
-    return docs.mapInArrow(run, "node long, grams binary")
+    return docs.mapInArrow(run, "node long, size long, " + ", ".join(f"p{i} long" for i in range(PARITY)) + ", grams binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
@@ -268,9 +272,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
             if len(keep):
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], names=["a", "b"])
 
+    # Sketches first, for they are short; few pairs that don't link get past them.
+    names = ["size", *(f"p{i}" for i in range(PARITY))]
+    p, q = (sets.select(F.col("node").alias(c), F.struct(*names).alias(s)) for c, s in (("a", "p"), ("b", "q")))
+    able = pairs.join(p, "a").join(q, "b").where(_near(t)).select("a", "b")
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return able.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _near(t: int) -> str:
+    """Whether the sketches p and q differ in no more bits than linked sets of their sizes differ in elements."""
+    bits = " + ".join(f"bit_count(p.p{i} ^ q.p{i})" for i in range(PARITY))
+    return f"({bits}) * {100 + t} <= {100 - t} * (p.size + q.size)"
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: int = THRESHOLD) -> DataFrame:
@@ -292,49 +306,36 @@ def _links(lists: DataFrame, classes: DataFrame, docs: DataFrame, n: int, t: int
     if not many:
         return None
     sets = materialise(_sets(docs.join(F.broadcast(ids) if many <= BROADCAST_IDS else ids, "key", "left_semi"), n).dropDuplicates(["node"]), "sets")
-    counted = lists.groupBy("sig").agg(F.count("*").alias("m"))
-    sized = materialise(lists.join(counted, "sig"), "sized")
-    short, long = sized.where(F.col("m") <= SHORT).select("sig", "node"), sized.where(F.col("m") > SHORT).select("sig", "node", "lead")
-    pairs = short.alias("p").join(short.alias("q"), F.expr("p.sig = q.sig and p.node < q.node")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-    star = long.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    tested = materialise(pairs.union(star).distinct(), "pairs")
+    pairs = lists.where("node != lead").select(F.inline(F.array(F.struct(F.col("lead").alias("a"), F.col("node").alias("b")), F.struct(F.col("prev").alias("a"), F.col("node").alias("b")))))
+    tested = materialise(pairs.distinct(), "pairs")
     links = materialise(_verify(tested, sets, t), "links")
     found = materialise(connected_components(links), "found")
-    if long.isEmpty():
+    rest = materialise(_rest(materialise(_open(lists, found), "open"), sets, t).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = materialise(_verify(rest, sets, t), "links")
+    if more.isEmpty():
         return found
-    for step in range(LEADER_ROUNDS + 1):
-        unsettled = materialise(_open(long, found), "open")
-        proposed = _leaders(unsettled) if step < LEADER_ROUNDS else _rest(unsettled)
-        more = materialise(proposed.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if step < LEADER_ROUNDS:
-                continue
-            break
-        new = materialise(_verify(more, sets, t), "links")
-        tested, links = tested.union(more), links.union(new)
-        if not new.isEmpty():
-            found = materialise(connected_components(links), "found")
-    return found
-
-
-def _open(long: DataFrame, found: DataFrame) -> DataFrame:
-    """sig, node, component of lists whose members are in more than one component."""
-    labelled = long.select("sig", "node").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    return labelled.join(several.select("sig"), "sig")
+    # Components so far stand for their links.
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
-def _leaders(unsettled: DataFrame) -> DataFrame:
-    """In each list every member is paired with the first member of the least component, or of the greatest if it is in that."""
-    heads = unsettled.groupBy("sig").agg(F.min(F.struct("component", "node")).alias("first"), F.max(F.struct("component", "node")).alias("last"))
-    head = F.when(F.col("component") != F.col("first.component"), F.col("first.node")).otherwise(F.col("last.node"))
-    return unsettled.join(heads, "sig").select(F.least("node", head).alias("a"), F.greatest("node", head).alias("b"))
+def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """sig, node, component of lists of more than three members (of others all pairs were tested) that are in several components."""
+    labelled = lists.select("sig", "node").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    several = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 3")
+    return labelled.join(several.select("sig"), "sig")
 
 
-def _rest(unsettled: DataFrame) -> DataFrame:
-    """Every pair of a list's members that are in different components."""
-    p, q = unsettled.alias("p"), unsettled.alias("q")
-    return p.join(q, F.expr("p.sig = q.sig and p.node < q.node and p.component != q.component")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+def _rest(unsettled: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Pairs of members in different components that may link: of lists by subsets, and of lists by parts refined by a second list."""
+    subsets = unsettled.where("sig % 2 != 0").select("sig", "node", "component")
+    parts = unsettled.where("sig % 2 = 0")
+    refined = parts.join(parts.select(F.col("sig").alias("also"), "node"), "node").where("sig < also").select(F.xxhash64("sig", "also").alias("sig"), "node", "component")
+    both = subsets.unionByName(refined)
+    several = both.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sig")
+    left = materialise(both.join(several, "sig").join(sets.drop("grams"), "node"), "refined")
+    p, q = left.alias("p"), left.alias("q")
+    able = f"p.sig = q.sig and p.node < q.node and p.component != q.component and {_near(t)}"
+    return p.join(q, F.expr(able)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
 
 
 def _result(base: DataFrame, classes: DataFrame, found: DataFrame | None, key: str) -> DataFrame:
