@@ -42,18 +42,47 @@ def unpack_interleaved(pixels: DataFrame) -> DataFrame:
     return pixels.select("y", "x", F.posexplode("pixel").alias("comp", "v"))
 
 
+#: Steps of a cache that are replayed in one go.
+LRU_STEPS = 1 << 16
+
+
 def lru_trace(trace: DataFrame, capacity: int) -> DataFrame:
     """Whether each access (cache, step, tile) hits a cache of ``capacity`` tiles: fewer than that many other tiles were used since the last time.
 
-    For each access only the accesses since the last use of its tile count, and of those the last use of each tile."""
-    w = W.partitionBy("cache", "tile").orderBy("step")
-    seen = trace.withColumn("last", F.lag("step").over(w)).withColumn("next", F.lead("step").over(w))
-    back = seen.where("last is not null").select("cache", "step", "last")
-    # Uses that are their tile's last before ``step``: exactly one for each distinct tile in between.
-    uses = seen.select("cache", F.col("step").alias("used"), "next")
-    between = back.join(uses, "cache").where("used > last and used < step and (next is null or next >= step)").groupBy("cache", "step").agg(F.count("*").alias("others"))
-    joined = seen.join(between, ["cache", "step"], "left")
-    return joined.select("cache", "step", "tile", (F.col("last").isNotNull() & (F.coalesce("others", F.lit(0)) < capacity)).alias("hit"))
+    Each cache is replayed in pieces of ``LRU_STEPS`` steps. A piece begins with the tiles that the ones before it leave, which are the
+    last ``capacity`` tiles used; for these only the last uses in each piece count, so no task reads a whole trace."""
+    cut = trace.select(*(F.col(c).cast("long").alias(c) for c in ("cache", "step", "tile"))).withColumn("piece", F.floor(F.col("step") / LRU_STEPS))
+    last = cut.groupBy("cache", "piece", "tile").agg(F.max("step").alias("step"))
+    newest = last.withColumn("rank", F.row_number().over(W.partitionBy("cache", "piece").orderBy(F.desc("step")))).where(F.col("rank") <= capacity)
+
+    def carry(df: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, int] = {}
+        out = []
+        for piece, uses in df.sort_values(["piece", "step"]).groupby("piece"):
+            out += [(step, tile, piece) for tile, step in held.items()]
+            for step, tile in uses[["step", "tile"]].itertuples(index=False):
+                held.pop(tile, None)
+                held[tile] = step
+                if len(held) > capacity:
+                    held.pop(next(iter(held)))
+        return pd.DataFrame(out, columns=["step", "tile", "piece"]).assign(cache=df["cache"].iloc[0])[["cache", "step", "tile", "piece"]]
+
+    def replay(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("step")
+        held: dict[int, None] = {}
+        out = []
+        for tile, known in df[["tile", "known"]].itertuples(index=False):
+            out.append(tile in held)
+            held.pop(tile, None)
+            held[tile] = None
+            if len(held) > capacity:
+                held.pop(next(iter(held)))
+        return df.assign(hit=out)[~df["known"]][["cache", "step", "tile", "hit"]]
+
+    ship(trace.sparkSession)
+    kept = newest.groupBy("cache").applyInPandas(carry, "cache long, step long, tile long, piece long")
+    rows = cut.withColumn("known", F.lit(False)).unionByName(kept.withColumn("known", F.lit(True)))
+    return rows.groupBy("cache", "piece").applyInPandas(replay, "cache long, step long, tile long, hit boolean")
 
 
 def lru_bytes(trace: DataFrame, budget: int) -> DataFrame:

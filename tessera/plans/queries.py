@@ -61,6 +61,11 @@ def tile_slate_semi(spark, d):
     return S.slated_tiles(_tiles(spark), R.regions(spark, d).where("region < 3")).select("tile")
 
 
+@query(sql("regions", f", {_TILES} select tile from tiles where exists (select 1 from regions r where greatest(r.x0, tiles.x0) < least(r.x1, tiles.x1) and greatest(r.y0, tiles.y0) < least(r.y1, tiles.y1))"))
+def tile_slate_semi_whole(spark, d):
+    return S.slated_tiles(_tiles(spark), R.regions(spark, d)).select("tile")
+
+
 @query(sql("regions trace", f", {_TILES}, cached as (select tile, max(step) % 2 = 1 dirty from trace group by tile) select tile from tiles t where exists (select 1 from regions r where greatest(r.x0, t.x0) < least(r.x1, t.x1) and greatest(r.y0, t.y0) < least(r.y1, t.y1)) and not exists (select 1 from cached c where c.tile = t.tile and not dirty)"))
 def pending_tiles_anti(spark, d):
     cached = R.access_trace(spark, d).groupBy("tile").agg((F.max("step") % 2 == 1).alias("dirty"))
@@ -560,6 +565,11 @@ def lru_trace(spark, d):
     return T.lru_trace(R.access_trace(spark, d).where("step <= 400"), 6)
 
 
+@query()
+def lru_trace_whole(spark, d):
+    return T.lru_trace(R.access_trace(spark, d), 6)
+
+
 @query()
 def lru_bytes(spark, d):
     return T.lru_bytes(R.access_trace(spark, d).withColumn("size", 1 + F.col("tile") % 7), 40)
@@ -610,6 +620,11 @@ def pack_interleave(spark, d):
     return T.pack_interleaved(R.rgb_img(spark, d).where("y < 4"))
 
 
+@query(sql("wide", "select y, x, [r, g, b] pixel from wide"))
+def pack_interleave_whole(spark, d):
+    return T.pack_interleaved(R.rgb_img(spark, d))
+
+
 @query(sql(_RGB, "select comp, y, x, v from rgb"))
 def unpack_deinterleave(spark, d):
     return T.unpack_interleaved(T.pack_interleaved(R.rgb_img(spark, d))).select("comp", "y", "x", "v")
@@ -648,6 +663,13 @@ def dump_difference(spark, d):
     return C.same_rows(w.where("y < 9"), w.where("y > 2 and y < 11"))
 
 
+@query(sql("wide", ", a as (select x, y, r from wide where y % 5 <> 2), b as (select x, y, r from wide where y % 5 <> 3) select x, y, r, 'left' side from (select * from a except all select * from b) union all select x, y, r, 'right' from (select * from b except all select * from a)"))
+def dump_difference_whole(spark, d):
+    """Each line is in one dump at least."""
+    w = R.rgb_wide(spark, d).select("x", "y", "r")
+    return C.same_rows(w.where("y % 5 != 2"), w.where("y % 5 != 3"))
+
+
 # ------------------------------------------------------------ sources and sinks
 
 
@@ -693,6 +715,12 @@ def mj2_decompact(spark, d):
     return CS.decompact(e.select((F.col("event_id") % 5).alias("movie"), F.col("event_id").alias("entry"), (F.col("user_id") % 4).cast("long").alias("n"), F.floor("value").cast("long").alias("v")))
 
 
+@query("with r as (select event_id % 5 movie, event_id entry, user_id % 4 n, cast(floor(value) as bigint) v from events), p as (select *, coalesce(sum(n) over (partition by movie order by entry rows between unbounded preceding and 1 preceding), 0)::bigint f from r) select movie, f + i frame, v from p, unnest(range(0, n)) t(i)")
+def mj2_decompact_whole(spark, d):
+    e = R.table(spark, d, "events")
+    return CS.decompact(e.select((F.col("event_id") % 5).alias("movie"), F.col("event_id").alias("entry"), (F.col("user_id") % 4).cast("long").alias("n"), F.floor("value").cast("long").alias("v")))
+
+
 @query(sql(_RGB, "select comp, y, x, v from rgb where y < 7"))
 def pnm_roundtrip(spark, d):
     """Samples to a PNM file's bytes and back."""
@@ -700,6 +728,13 @@ def pnm_roundtrip(spark, d):
     return RF.read_samples(files.withColumnRenamed("name", "path")).select("comp", "y", "x", "v")
 
 
+@query(sql("wide", ", size as (select max(y) h from wide), grid as (select x, y from range(0, 128) a(x), range(0, (select h + 1 from size)) b(y)) select c comp, g.y, g.x, coalesce(case c when 0 then r when 1 then w.g else b end, 0) v from grid g left join wide w using (x, y), unnest([0, 1, 2]) t(c)"))
+def pnm_roundtrip_whole(spark, d):
+    """Samples to a PNM file's bytes and back; what the ragged last line lacks is 0."""
+    files = RF.to_files(R.rgb_img(spark, d), 8)
+    return RF.read_samples(files.withColumnRenamed("name", "path")).select("comp", "y", "x", "v")
+
+
 @query(sql("regions", "select region::varchar path, l as level, b box, n from regions, (values (0, 'jP  ', 1), (0, 'ftyp', 1), (0, 'jp2h', 1), (1, 'ihdr', 1), (1, 'colr', 1), (0, 'jp2c', 1)) t(l, b, n)"))
 def box_scan(spark, d):
     ihdr, colr = CS.box("ihdr", bytes(14)), CS.box("colr", bytes(7))
