@@ -2,8 +2,9 @@
 
 A rule is (host, path, action): it fits its host and all subdomains where the URL's path starts with the rule's; of those
 that fit, the longest wins. Pages whose URLs are joined by redirects (meta refresh, or given pairs) or canonical links form a
-class. A page that no rule fits takes the class's decision: blocked if a rule blocks one of the class, unless a rule
-explicitly allows one of the class; explicit decisions of a page itself always stand. All else is allowed.
+class, with link targets that are no pages of the table. A page that no rule fits takes the class's decision: blocked if a rule
+blocks one of the class, unless a rule explicitly allows one of the class; explicit decisions of a page itself always stand. All
+else is allowed. Relative targets are resolved against the page's folder.
 
 Null URLs, and URLs without ``://``, have an empty host and path, fit no rule and belong to no class; null html has no links.
 Repeated rows get the same verdict each; an empty table gives an empty result; further columns are ignored. Two URLs are one
@@ -65,23 +66,46 @@ def match_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     return pages.join(best, ["host", "path"], "left").withColumn("rule", F.col("best.rule")).withColumn("action", F.col("best.action")).drop("best")
 
 
+def _folded(path: Column) -> Column:
+    """An absolute path without its . and .. segments."""
+    held = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda held, part: F.when(part == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(1)))).when(part == ".", held).otherwise(F.concat(held, F.array(part))),
+    )
+    return F.concat(F.array_join(held, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+
+
 def _target(href: Column, url: Column) -> Column:
-    """An absolute URL for a link's target; null for forms that can't be resolved without the page's folder."""
+    """An absolute URL for a link's target; null for other kinds of URL (mailto:, data:) and where a relative one has no host."""
     href = F.trim(href)
+    path, tail = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    own = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    site = F.concat(F.lit("http://"), host_of(url))
+    known = host_of(url) != ""
     return (
-        F.when(F.instr(href, "://") > 0, href)
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), href)
+        .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(F.startswith(href, F.lit("//")), F.concat(F.lit("http:"), href))
-        .when(F.startswith(href, F.lit("/")) & (host_of(url) != ""), F.concat(F.lit("http://"), host_of(url), href))
+        .when(known & F.startswith(href, F.lit("#")), url)
+        .when(known & F.startswith(href, F.lit("?")), F.concat(site, own, href))
+        .when(known & F.startswith(href, F.lit("/")), F.concat(site, _folded(path), tail))
+        .when(known, F.concat(site, _folded(F.concat(F.regexp_extract(own, r"^(.*/)", 1), path)), tail))
     )
 
 
+def _ends(found: DataFrame, from_url: Column, to_url: Column) -> DataFrame:
+    """u, v and the host and path of both."""
+    ends = found.select(*(x.alias(n) for c, url in (("u", from_url), ("v", to_url)) for n, x in ((c, node_of(url)), (f"{c}_host", host_of(url)), (f"{c}_path", path_of(url)))))
+    return ends.where("u is not null and v is not null and u != v")
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """u, v: the nodes of each page and of the canonical or refresh target that it names."""
+    """u, v: the nodes of each page and of the canonical or refresh target that it names, with the host and path of both."""
     page, body = F.col(url), F.col(html)
     canonical = F.regexp_extract(body, r"(?is)<link\s(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(body, r"(?is)<meta\s(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     found = pages.where(body.isNotNull() & page.isNotNull()).select(page.alias("url"), F.explode(F.array(canonical, refresh)).alias("href")).where(F.col("href") != "")
-    return found.select(node_of(F.col("url")).alias("u"), node_of(_target(F.col("href"), F.col("url"))).alias("v")).where("u is not null and v is not null and u != v")
+    return _ends(found, F.col("url"), _target(F.col("href"), F.col("url")))
 
 
 def judge(
@@ -90,16 +114,19 @@ def judge(
     """key, host, path, rule, verdict and component (null outside any class). redirects: further pairs (from_url, to_url)."""
     edges = link_edges(pages, url, html)
     if redirects is not None:
-        edges = edges.union(redirects.select(node_of(F.col("from_url")).alias("u"), node_of(F.col("to_url")).alias("v")).where("u is not null and v is not null and u != v"))
+        edges = edges.union(_ends(redirects, F.col("from_url"), F.col("to_url")))
     edges = materialise(edges.distinct(), "url-edges")
     own = pages.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias("node"))
     own = match_rules(own, rules)
     if edges.isEmpty():
         return own.select(key, "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("component"))
-    classes = materialise(connected_components(edges, "u", "v"), "url-classes")
+    classes = materialise(connected_components(edges.select("u", "v").distinct(), "u", "v"), "url-classes")
     placed = own.join(classes, own["node"] == classes["node"], "left").drop(classes["node"])
-    # A target that is no page of the table still passes decisions on, but only pages' rules make them.
-    decided = placed.where("component is not null and action is not null").groupBy("component").agg(F.max((F.col("action") == "block").cast("int")).alias("b"), F.max((F.col("action") == "allow").cast("int")).alias("a"))
+    # A target that is no page of the table decides like a page.
+    ends = edges.select(F.explode(F.array(*(F.struct(F.col(c).alias("node"), F.col(f"{c}_host").alias("host"), F.col(f"{c}_path").alias("path")) for c in "uv"))).alias("end")).select("end.*")
+    linked = match_rules(ends.distinct(), rules).where("action is not null").join(classes, "node").select("component", "action")
+    ruled = placed.where("component is not null and action is not null").select("component", "action").union(linked)
+    decided = ruled.groupBy("component").agg(F.max((F.col("action") == "block").cast("int")).alias("b"), F.max((F.col("action") == "allow").cast("int")).alias("a"))
     joined = placed.join(decided, "component", "left")
     passed = F.when((F.col("b") == 1) & (F.coalesce("a", F.lit(0)) == 0), "block").otherwise("allow")
     return joined.select(key, "host", "path", "rule", F.coalesce("action", passed).alias("verdict"), "component")
