@@ -2,8 +2,8 @@
 
 A character trigram model is counted over all documents. Words that may be disguised (digits or marks between letters, letters
 three times in a row, letters spaced out) become lattices: a mark may stand for some letters, a repeated letter for one or two,
-a separator for nothing. Viterbi decoding finds the likeliest word under the character model, which also holds the lexicon's
-words. The lexicon is learned from labelled documents: words that stand in toxic ones in more surroundings than chance allows
+a separator, or the space between two letters, for nothing or for the end of a word. Viterbi decoding finds the likeliest words
+under the character model, which also holds the lexicon's words; an entry that fits whole between two ends is one step. The lexicon is learned from labelled documents: words that stand in toxic ones in more surroundings than chance allows
 and hardly ever in others; copies of a document have the same surroundings and so count once. A text's score is the noisy-or
 of the entries found in it as written or as restored.
 
@@ -27,15 +27,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.llm.common import Words, combine, fold, load, materialise, slices, text_of
 
 MAX_TRAIN = 6000
-MAX_LEXICON = 512
 #: Score of a text without any entry.
 BASE = 0.03
 #: What a mark may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "h"}
 SEPARATORS = ".-_~'`"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: Longest run of characters that is decoded as one word; longer runs are decoded in pieces of this size.
-LATTICE = 48
+#: Log score of an entry that fits between two ends of words.
+ENTRY = -2.3
+#: Tokens up to this length are remembered with what they stand for.
+REMEMBERED = 64
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = np.arange(1, 27)
@@ -49,19 +50,12 @@ _MARK[[ord(c) for c in "".join(LEET) + SEPARATORS if ord(c) < 128]] = True
 
 def cores(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of the words without marks at either end that are no letters."""
-    starts, ends = words.starts.copy(), words.ends.copy()
-    if not len(starts):
-        return starts, ends
-    todo = np.flatnonzero(~_LETTER[words.buf[ends - 1]])
-    for _ in range(4):
-        ends[todo] -= 1
-        todo = todo[ends[todo] > starts[todo]]
-        todo = todo[~_LETTER[words.buf[ends[todo] - 1]]]
-    todo = np.flatnonzero(~_LETTER[words.buf[starts]] & (ends > starts))
-    for _ in range(4):
-        starts[todo] += 1
-        todo = todo[ends[todo] > starts[todo]]
-        todo = todo[~_LETTER[words.buf[starts[todo]]]]
+    letter = _LETTER[words.buf]
+    places, at = np.flatnonzero(letter), np.concatenate([[0], np.cumsum(letter)])
+    lo, hi = at[words.starts], at[words.ends]
+    starts, ends = words.starts.copy(), words.starts.copy()
+    some = hi > lo
+    starts[some], ends[some] = places[lo[some]], places[hi[some] - 1] + 1
     return starts, ends
 
 
@@ -99,15 +93,26 @@ class Model:
     base: float = 0.0
     names: list[str] = field(default_factory=list)
     logp: np.ndarray = field(default_factory=lambda: np.zeros((32, 32, 32)))
-    decoded: dict[str, str] = field(default_factory=dict)
-
-    def decode(self, token: str) -> str:
-        """The likeliest word for a disguised token."""
+    decoded: dict[str, list[str]] = field(default_factory=dict)
+    trie: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        for word in self.names:
+            node = self.trie
+            for c in word:
+                node = node.setdefault(c, {})
+            if word:
+                node[""] = word
+
+    def decode(self, token: str) -> list[str]:
+        """The likeliest words for a disguised token."""
         token = token.lower()
+        if len(token) > REMEMBERED:
+            return viterbi(token, self.logp, self.trie).split()
         if token not in self.decoded:
             if len(self.decoded) > 200_000:
                 self.decoded.clear()
-            self.decoded[token] = "".join(viterbi(token[i : i + LATTICE], self.logp) for i in range(0, len(token), LATTICE))
+            self.decoded[token] = viterbi(token, self.logp, self.trie).split()
         return self.decoded[token]
 
     def found(self, hashes: np.ndarray) -> np.ndarray:
@@ -122,10 +127,10 @@ class Model:
         out, who = [], []
         doc = words.doc
         for i, token in disguised(words, doc):
-            got = self.decode(token)
-            if len(got) > 2:
-                out.append(got)
-                who.append(int(doc[i]))
+            for got in self.decode(token):
+                if len(got) > 2:
+                    out.append(got)
+                    who.append(int(doc[i]))
         return out, who
 
     def score(self, words: Words) -> np.ndarray:
@@ -168,30 +173,37 @@ def disguised(words: Words, doc: np.ndarray):
         three[1 : len(run) + 1] = np.cumsum(run)
         three[len(run) + 1 :] = three[len(run)]
     thrice = three[np.maximum(words.ends - 2, words.starts)] - three[words.starts] > 0
-    for i in np.flatnonzero((size > 2) & (size <= 400) & (letters > 0) & ((inside > 0) | lead | tail | thrice)):
+    for i in np.flatnonzero((size > 2) & (letters > 0) & ((inside > 0) | lead | tail | thrice)):
         yield i, words.text(i).decode("utf-8", "ignore")
     single = (size == 1) & (_LETTER[b[words.starts]] | _MARK[b[words.starts]])
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     for lo, hi in zip(edge[::2], edge[1::2], strict=True):
         for j in np.split(np.arange(lo, hi), np.flatnonzero(np.diff(doc[lo:hi])) + 1):
             if len(j) > 2 and _LETTER[b[words.starts[j]]].sum() > 1:
-                yield j[0], b[words.starts[j]].tobytes().decode("ascii", "ignore")
+                yield j[0], " ".join(b[words.starts[j]].tobytes().decode("ascii", "ignore"))
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of a character, what it may stand for and at what cost."""
+    """For each run of a character, what it may stand for and at what cost; a space is the end of a word. Letters that
+    are spaced out stand for themselves each, or for nothing where they repeat the one before."""
     out: list[list[tuple[str, float]]] = []
-    for m in re.finditer(r"(.)\1*", token, re.S):
+    spaced, before = " " in token, ""
+    for m in re.finditer(r"(.)" if spaced else r"(.)\1*", token, re.S):
         c, n = m[1], len(m[0])
-        if c in SEPARATORS:
-            out.append([("", 0.0)])
+        edge = m.start() == 0 or m.end() == len(token)
+        if c in SEPARATORS or c == " ":
+            out.append([("", 0.0), (" ", 0.0)])
         elif c in LEET:
             options = [(x, 0.7 + (len(LEET[c]) > 2)) for x in LEET[c]]
-            out.append([*options, *((2 * x, 0.7) for x in LEET[c] if n > 1)])
+            options += [(2 * x, 0.7) for x in LEET[c] if n > 1]
+            options += [("", 1.0)] if n > 1 or edge or c == before else []
+            out.append(options if c.isalnum() else [*options, (" ", 1.0)])
         elif "a" <= c <= "z" or ord(c) > 127:
-            out.append([(c, 0.0 if n == 1 else 0.3 if n > 2 else 1.5), *([(2 * c, 0.0)] if n > 1 else [])])
+            options = [(c, 0.0 if n == 1 else 0.3 if n > 2 else 1.5), *([(2 * c, 0.0)] if n > 1 else [])]
+            out.append([*options, ("", 1.0)] if c == before else options)
         elif c.isdigit() or not c.isalnum():
-            out.append([("", 1.0)])
+            out.append([("", 1.0)] if c.isalnum() else [("", 1.0), (" ", 1.0)])
+        before = c if spaced and c != " " else before
     return out
 
 
@@ -199,23 +211,68 @@ def _code(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27
 
 
-def viterbi(token: str, logp: np.ndarray) -> str:
+#: The state after an entry: only nothing or the end of the word can follow.
+_WHOLE = (-1, -1)
+
+
+def _entries(units: list[list[tuple[str, float]]], i: int, trie: dict):
+    """Entries that the lattice can spell from unit i on: the unit after the last, the cost and the word."""
+    held = {id(trie): (0.0, trie)}
+    for j in range(i, len(units)):
+        nxt: dict[int, tuple[float, dict]] = {}
+        for cost, node in held.values():
+            for text, more in units[j]:
+                to = None if text == " " or (node is trie and not text) else node
+                for ch in text:
+                    to = to.get(ch) if to else None
+                if to and (id(to) not in nxt or nxt[id(to)][0] > cost + more):
+                    nxt[id(to)] = (cost + more, to)
+        if not nxt:
+            return
+        for cost, node in nxt.values():
+            if "" in node:
+                yield j + 1, cost, node[""]
+        held = nxt
+
+
+def viterbi(token: str, logp: np.ndarray, trie: dict | None = None) -> str:
     """The best path through the token's lattice under the trigram model; a state is the last two characters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token):
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in states.items():
+    units = lattice(token)
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    wholes: dict[int, tuple[float, tuple]] = {}
+    for i, options in enumerate(units):
+        if trie and (0, 0) in states:
+            score, path = states[0, 0]
+            for j, cost, word in _entries(units, i, trie):
+                s = score + ENTRY - cost
+                if j not in wholes or wholes[j][0] < s:
+                    wholes[j] = (s, (path, word))
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for text, cost in options:
                 x, y, s = a, b, score - cost
-                for ch in text:
-                    z = _code(ch)
-                    s += logp[x, y, z]
-                    x, y = y, z
+                if text == " ":
+                    s += logp[a, b, 0] if (a, b) not in ((0, 0), _WHOLE) else 0.0
+                    x = y = 0
+                elif text and (a, b) == _WHOLE:
+                    continue
+                else:
+                    for ch in text:
+                        z = _code(ch)
+                        s += logp[x, y, z]
+                        x, y = y, z
                 if (x, y) not in nxt or nxt[x, y][0] < s:
-                    nxt[x, y] = (s, word + text)
+                    nxt[x, y] = (s, (path, text) if text else path)
+        whole = wholes.pop(i + 1, None)
+        if whole and (_WHOLE not in nxt or nxt[_WHOLE][0] < whole[0]):
+            nxt[_WHOLE] = whole
         states = nxt
-    best = max(((s + logp[a, b, 0], w) for (a, b), (s, w) in states.items()), default=(0.0, ""))
-    return best[1]
+    path = max(((s if (a, b) in ((0, 0), _WHOLE) else s + logp[a, b, 0], i, p) for i, ((a, b), (s, p)) in enumerate(states.items())), default=(0.0, 0, None), key=lambda x: x[0])[2]
+    out = []
+    while path:
+        path, text = path
+        out.append(text)
+    return "".join(reversed(out))
 
 
 def character_model(counts: np.ndarray, lexicon: list[str], share: float = 0.5) -> np.ndarray:
@@ -272,7 +329,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, key: s
         return []
     share = total["t"] / (total["t"] + total["c"])
     least = max(5.0, np.log(20.0 * total["features"]) / -np.log(share))
-    found = counts.where((F.col("t") >= least) & (F.col("c") * 25 <= F.col("t"))).orderBy(F.desc("t"), "feature").limit(MAX_LEXICON).collect()
+    found = counts.where((F.col("t") >= least) & (F.col("c") * 25 <= F.col("t"))).orderBy(F.desc("t"), "feature").collect()
     names = _spell(sample, {r["feature"] for r in found})
     return [(r["feature"], (r["t"] + 0.5) / (r["t"] + r["c"] + 1.0), names.get(r["feature"], "")) for r in found]
 
