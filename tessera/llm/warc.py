@@ -8,7 +8,8 @@ finds the capture, and one range read fetches the record.
 
 Payloads that occur again are written as revisits of the record with the largest page number; payloads of fewer than
 ``min_revisit`` bytes are all written as responses. Archives lie in the shared folder, under a temporary name until a task is
-done, so a repeated task replaces its own file. A null URL has the empty key, null html is an empty payload, repeated rows are written
+done, so a repeated task replaces its own file. A null page number is written as an empty one and read as null; such pages are always
+responses and come first among a key's captures. A null URL has the empty key, null html is an empty payload, repeated rows are written
 each, an empty table gives no archives and an empty result, and further columns are ignored.
 """
 
@@ -47,11 +48,11 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record; a revisit has no payload of its own."""
     kind = "response" if refers_to is None else "revisit"
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8",
     ]
     if refers_to is not None:
@@ -64,7 +65,7 @@ def parse(raw: bytes) -> dict:
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     names = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    number = lambda x: int(x.rpartition(":")[2].rstrip(">"))
+    number = lambda x: int(n) if (n := x.rpartition(":")[2].rstrip(">")) else None
     body = rest[: int(names["content-length"])]
     return {
         "page_id": number(names["warc-record-id"]), "record_type": names["warc-type"], "payload_digest": names["warc-payload-digest"].removeprefix("sha1:"),
@@ -87,7 +88,7 @@ def captures(pages: DataFrame, min_revisit: int = 0, key: str = "page_id", url:
     held = materialise(again, "warc-again")
     joined = base.join(F.broadcast(held) if held.count() <= 200_000 else held, "sha", "left")
     refers = F.when((F.col("keeper") != F.col("page")) & (F.octet_length("payload") >= min_revisit), F.col("keeper"))
-    line = F.concat(key_of(F.col("url")), F.lit(" "), F.lpad(F.col("page").cast("string"), 19, "0"))
+    line = F.concat(key_of(F.col("url")), F.lit(" "), F.coalesce(F.lpad(F.col("page").cast("string"), 19, "0"), F.lit("")))
     return joined.select("page", F.coalesce(line, F.lit(" ")).alias("line"), "url", "payload", refers.alias("refers_to"))
 
 
