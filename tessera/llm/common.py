@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python step looks at in one go; longer texts get a slice of their own.
 SLICE_BYTES = 1 << 20
+#: Texts of a slice at most.
+SLICE_ROWS = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -213,7 +215,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + SLICE_ROWS)
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 

@@ -12,12 +12,14 @@ before; a set takes part in its own class and the next, so that any two sets tha
   single elements would hold a tenth of all documents wherever a passage is shared; lists of whole parts hold mostly near copies.)
 - The boundary is the class where enumerating subsets, by the count of sets of each size, stops being cheaper than parts.
 
-In each list, members are paired with the first and with the one before them in the order of names. Once linked ones are joined in
-components, lists of more than three members that are still in several components are refined by each other (for linked sets
-meet in two), and there every pair in different components is a candidate whose parity sketches differ in no more bits than
-linked sets differ in elements: a bound that never rejects a link. So no link between components is lost. Candidates are
+In each list, members are paired with the first and with the one before them in the order of names, and linked ones are joined in
+components. Lists of more than three members that are still in several components hold all links that are left. Their sets are
+scanned by inverted lists of single elements, rare ones first: only elements that several components hold can bring a link, so
+a set's other elements come first in its order, and of the rest the one that fewer sets hold. Linked sets share an element
+among their first s - ceil(t s) + 1, and how far down it stands bounds what they can have in common; lists are joined by element and
+class of size, and only pairs in different components that pass this bound leave the join. Candidates are
 verified on their whole sets. Elements are 46-bit hashes and sets are named by 64-bit hashes. No list is gathered: the sorted
-keys are read as a stream, and each task gives the keys of equal sets once.
+keys are read as a stream, the join of a long list may be split over tasks, and each task gives the keys of equal sets once.
 
 A document without words (null and empty texts too) has an empty set and links with nothing. Ids should be unique; rows that
 repeat an id and text are one member of the group twice. An empty table gives an empty result; further columns are ignored.
@@ -62,8 +64,6 @@ def shingle_sets(words: Words, n: int = N) -> tuple[np.ndarray, np.ndarray]:
         step = mix(g * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(at + k, max(len(h) - 1, 0))]) if len(h) else g
         g = np.where(left > k, step, g)
     g ^= left.astype(np.uint64)
-    if len(count) >= 1 << (64 - BITS):
-        raise ValueError("too many texts in a slice")
     both = np.sort((doc.astype(np.uint64) << np.uint64(BITS)) | (g >> np.uint64(64 - BITS)))
     keep = np.ones(len(both), bool)
     keep[1:] = both[1:] != both[:-1]
@@ -310,7 +310,7 @@ def _links(lists: DataFrame, classes: DataFrame, docs: DataFrame, n: int, t: int
     tested = materialise(pairs.distinct(), "pairs")
     links = materialise(_verify(tested, sets, t), "links")
     found = materialise(connected_components(links), "found")
-    rest = materialise(_rest(materialise(_open(lists, found), "open"), sets, t).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    rest = materialise(_crossing(_open(lists, found), sets, t).join(tested, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_verify(rest, sets, t), "links")
     if more.isEmpty():
         return found
@@ -319,23 +319,44 @@ def _links(lists: DataFrame, classes: DataFrame, docs: DataFrame, n: int, t: int
 
 
 def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """sig, node, component of lists of more than three members (of others all pairs were tested) that are in several components."""
+    """node, component of the members of lists of more than three (of others all pairs were tested) that are in several components."""
     labelled = lists.select("sig", "node").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     several = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 3")
-    return labelled.join(several.select("sig"), "sig")
-
-
-def _rest(unsettled: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Pairs of members in different components that may link: of lists by subsets, and of lists by parts refined by a second list."""
-    subsets = unsettled.where("sig % 2 != 0").select("sig", "node", "component")
-    parts = unsettled.where("sig % 2 = 0")
-    refined = parts.join(parts.select(F.col("sig").alias("also"), "node"), "node").where("sig < also").select(F.xxhash64("sig", "also").alias("sig"), "node", "component")
-    both = subsets.unionByName(refined)
-    several = both.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sig")
-    left = materialise(both.join(several, "sig").join(sets.drop("grams"), "node"), "refined")
-    p, q = left.alias("p"), left.alias("q")
-    able = f"p.sig = q.sig and p.node < q.node and p.component != q.component and {_near(t)}"
-    return p.join(q, F.expr(able)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    return materialise(labelled.join(several.select("sig"), "sig").select("node", "component").distinct(), "open")
+
+
+def _elements(owners: DataFrame) -> DataFrame:
+    """element, node, component, size: one row for each element of each set."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, offsets in slices(batch.column("grams")):
+                n = np.diff(offsets) // 8
+                same = [pa.array(np.repeat(batch.column(c)[lo:hi].to_numpy(), n)) for c in ("node", "component", "size")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(buf.tobytes(), np.int64)), *same], names=["element", "node", "component", "size"])
+
+    return owners.mapInArrow(run, "element long, node long, component long, size long")
+
+
+def _crossing(unsettled: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that may link, from inverted lists of elements in rare-first order."""
+    owners = unsettled.join(sets.select("node", "size", "grams"), "node")
+    elements = _elements(owners)
+    held = elements.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("f")).where("lo != hi").select("element", "f")
+    first = f"size - ceil({t} * size / 100) + 1"
+    ordered = elements.join(held, "element").groupBy("node", "component", "size").agg(F.array_sort(F.collect_list(F.struct("f", "element"))).alias("own"))
+    # Elements of one component alone stand before all others, so place j among the others is place size - size(own) + j of the set.
+    placed = ordered.withColumn("before", F.expr("size - size(own)")).where(f"before < {first}")
+    entries = placed.select("node", "component", "size", "before", F.posexplode(F.expr(f"slice(own, 1, cast({first} - before as int))")).alias("j", "e"))
+    entries = materialise(entries.select(F.col("e.element").alias("element"), "node", "component", "size", F.expr("before + j").alias("place")), "entries")
+    # Of two linked sets, the smaller one shares an element among its first size - ceil(2 t size / (100 + t)) + 1. Sizes that link are a class apart at most.
+    step = f"cast(floor(ln(size) / ln({100 / t!r}) + 1e-9) as int)"
+    p = entries.where(f"place < size - ceil({2 * t} * size / {100 + t}) + 1").withColumn("class", F.explode(F.expr(f"array({step}, {step} + 1, {step} + 2)"))).alias("p")
+    q = entries.withColumn("class", F.expr(step)).alias("q")
+    able = f"""p.element = q.element and p.class = q.class and p.component != q.component and (p.size < q.size or p.size = q.size and p.node < q.node)
+        and 100 * p.size >= {t} * q.size and least(p.size - p.place, q.size - q.place) * {100 + t} >= {t} * (p.size + q.size)"""
+    both = p.join(q, F.expr(able)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+    return both.distinct()
 
 
 def _result(base: DataFrame, classes: DataFrame, found: DataFrame | None, key: str) -> DataFrame:

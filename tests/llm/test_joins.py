@@ -58,6 +58,19 @@ def test_chain_of_near_copies(make, words):
     assert got == {i: c for i, (_, c) in brute(rows, 3, 90).items()} and set(got.values()) == {0}
 
 
+@pytest.mark.parametrize(("n", "t", "most"), [(3, 90, 5), (5, 80, 6)])
+def test_dense_group_with_few_links(make, words, n, t, most):
+    """Many sets that share most of their elements, of which some link: lists that stay in several components."""
+    rng, base, rows = np.random.default_rng(11), words(150, 5).split(), []
+    for i in range(140):
+        w = list(base)
+        for at in rng.choice(len(w), rng.integers(1, most), replace=False):
+            w[at] = f"new{rng.integers(10**6)}"
+        rows.append((i, " ".join(w[int(rng.integers(0, 4)) :])))
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(make(rows), n=n, threshold=t).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, n, t).items()} and 1 < len(set(got.values())) < 140
+
+
 def test_empty(make):
     assert jaccard_join.components(make([])).count() == 0
     assert [tuple(r) for r in jaccard_join.components(make([(5, None), (6, "")])).select("doc_id", "n_shingles", "component_id").orderBy("doc_id").collect()] == [(5, 0, 5), (6, 0, 6)]
