@@ -35,21 +35,66 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return place, sign
 
 
-def shapes(words: Words) -> np.ndarray:
-    """A small number for each word's look: capitals, small letters, digits, marks inside and at the end, length."""
-    b = words.buf
-    upper, lower = (b >= 65) & (b <= 90), ((b >= 97) & (b <= 122)) | (b >= 128)
-    digit = (b >= 48) & (b <= 57)
-    mark = ~(upper | lower | digit) & (b > 32)
+#: Each byte as a count of one in its own 16 bits: capitals, small letters, digits, marks.
+_KINDS = np.zeros(256, np.uint64)
+_KINDS[33:] = np.uint64(1) << np.uint64(48)
+_KINDS[65:91] = np.uint64(1)
+_KINDS[97:123] = _KINDS[128:] = np.uint64(1) << np.uint64(16)
+_KINDS[48:58] = np.uint64(1) << np.uint64(32)
+#: Words that are summed in single precision; longer texts are summed part by part.
+PART = 1024
 
-    def count(mask):
-        s = np.concatenate([[0], np.cumsum(mask)])
-        return s[words.ends] - s[words.starts]
 
-    n = words.ends - words.starts
-    nu, nl, nd, nm = count(upper), count(lower), count(digit), count(mark)
+def shapes(words: Words) -> np.ndarray:
+    """A small number for each word's look: capitals, small letters, digits, marks inside and at the end, length."""
+    sums = np.zeros(len(words.buf) + 1, np.uint64)
+    np.cumsum(_KINDS[words.buf], out=sums[1:])
+    held = sums[words.ends] - sums[words.starts]
+    nu, nl, nd, nm = ((held >> np.uint64(k)).astype(np.int64) & 0xFFFF for k in (0, 16, 32, 48))
     caps = np.where(nu == 0, 0, np.where(nl == 0, 2, 1))
-    return (np.minimum(nm, 3) * 48 + caps * 16 + (nd > 0) * 8 + np.minimum(np.log2(n + 1).astype(np.int64), 7)).astype(np.int64) % SHAPES
+    return (np.minimum(nm, 3) * 48 + caps * 16 + (nd > 0) * 8 + np.minimum(np.log2(words.ends - words.starts + 1).astype(np.int64), 7)) % SHAPES
+
+
+def shape_index() -> np.ndarray:
+    """Index vectors of the shapes, a row each."""
+    place, sign = _index_vectors()
+    out = np.zeros((SHAPES, DIMS))
+    for k in range(2):
+        np.add.at(out, (np.arange(SHAPES), place[BUCKETS:, k]), sign[BUCKETS:, k])
+    return out
+
+
+def text_sums(words: Words, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each text the sum over its words of table[index of the word], of all (table, index), whose rows are of one length."""
+    count = words.counts
+    many = -(-count // PART)
+    bounds = np.concatenate([[0], np.cumsum(many)])
+    starts = (np.arange(bounds[-1]) - np.repeat(bounds[:-1], many)) * PART + np.repeat(words.first[:-1], many)
+    out = np.zeros((len(count), tables[0][0].shape[1]))
+    text = np.repeat(np.arange(len(count)), many)
+    step = 128  # parts at a time
+    for lo in range(0, len(starts), step):
+        a, z = int(starts[lo]), int(starts[lo + step]) if lo + step < len(starts) else len(words)
+        rows = tables[0][0].take(tables[0][1][a:z], axis=0)
+        for table, index in tables[1:]:
+            rows += table.take(index[a:z], axis=0)
+        np.add.at(out, text[lo : lo + step], np.add.reduceat(rows, starts[lo : lo + step] - a, axis=0, dtype=np.float32))
+    return out
+
+
+def repeats(words: Words, own: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each text the words whose bucket is that of the word before, and the runs of three words that stood in it before."""
+    n, doc = len(words.first) - 1, words.doc
+    out = np.zeros((n, 2))
+    if len(words) > 1:
+        out[:, 0] = np.bincount(doc[1:][(own[1:] == own[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
+    if len(words) > 2:
+        whole = np.flatnonzero(doc[2:] == doc[:-2])
+        triple = combine([h[whole], h[whole + 1], h[whole + 2]]) >> np.uint64(17)
+        both = np.sort((doc[whole].astype(np.uint64) << np.uint64(47)) | triple)
+        again = both[1:][both[1:] == both[:-1]] >> np.uint64(47)
+        out[:, 1] = np.bincount(again.astype(np.int64), minlength=n)
+    return out
 
 
 @dataclass
@@ -62,42 +107,50 @@ class Model:
     w2: np.ndarray | None = None
     b2: float = 0.0
     temperature: float = 1.0
+    _folded: tuple | None = None
+
+    def _words(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket and shape of each word; for each text the shares of repeated words and triples, and its length."""
+        h = words.hashes()
+        own = (h % np.uint64(BUCKETS)).astype(np.int64)
+        rest = np.hstack([repeats(words, own, h) / np.maximum(words.counts, 1)[:, None], np.log1p(words.counts)[:, None] / 10])
+        return own, shapes(words), rest
 
     def pool(self, words: Words) -> np.ndarray:
-        """One row of features for each text."""
-        n = len(words.first) - 1
-        own = (words.hashes() % np.uint64(BUCKETS)).astype(np.int64)
-        look = shapes(words) if len(words) else np.zeros(0, np.int64)
+        """One row of features for each text: means of its words' and shapes' context vectors and of its shapes' index vectors, and the rest."""
+        own, look, rest = self._words(words)
         count = np.maximum(words.counts, 1)[:, None]
-
-        def mean(rows):
-            sums = np.zeros((len(rows) + 1, rows.shape[1]))
-            np.cumsum(rows, axis=0, out=sums[1:])
-            return np.diff(sums[words.first], axis=0) / count
-
-        place, sign = _index_vectors()
-        eye = np.zeros((SHAPES, DIMS))
-        for k in range(2):
-            np.add.at(eye, (np.arange(SHAPES), place[BUCKETS:, k]), sign[BUCKETS:, k])
-        doc = words.doc
-        same = np.zeros((len(words), 2))
-        if len(words) > 1:
-            same[1:, 0] = (own[1:] == own[:-1]) & (doc[1:] == doc[:-1])
-        if len(words) > 2:
-            h = words.hashes()
-            triple = combine([h[:-2], h[1:-1], h[2:], doc[2:].astype(np.uint64)])
-            _, first = np.unique(triple, return_index=True)
-            again = np.ones(len(triple), bool)
-            again[first] = False
-            same[2:, 1] = again & (doc[2:] == doc[:-2])
-        return np.hstack([mean(self.context[own]), mean(self.context[BUCKETS + look]), mean(eye[look]), mean(same), np.log1p(words.counts)[:, None] / 10]).reshape(n, -1)
+        context = self.context.astype(np.float32)
+        means = [text_sums(words, [part]) / count for part in ((context[:BUCKETS], own), (context[BUCKETS:], look), (shape_index().astype(np.float32), look))]
+        return np.hstack([*means, rest])
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        """Scores of rows of features."""
         if self.w1 is None:
             return np.full(len(x), 0.5)
-        z = np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
+        return self._out((x - self.mean) / self.scale @ self.w1 + self.b1)
+
+    def _out(self, hidden: np.ndarray) -> np.ndarray:
+        z = np.tanh(hidden) @ self.w2 + self.b2
         return 1 / (1 + np.exp(-np.clip(z / self.temperature, -30, 30)))
 
+    def folded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The first layer applied to the rows that are pooled, for it is linear: tables of words and shapes, weights of the rest, and offset."""
+        if self._folded is None:
+            w = self.w1 / self.scale[:, None]
+            word = self.context[:BUCKETS] @ w[:DIMS]
+            shape = self.context[BUCKETS:] @ w[DIMS : 2 * DIMS] + shape_index() @ w[2 * DIMS : 3 * DIMS]
+            self._folded = word.astype(np.float32), shape.astype(np.float32), w[3 * DIMS :], self.b1 - self.mean @ w
+        return self._folded
+
+    def score_texts(self, words: Words) -> np.ndarray:
+        """``score(pool(words))``, with the first layer folded into the tables."""
+        if self.w1 is None:
+            return np.full(len(words.first) - 1, 0.5)
+        own, look, rest = self._words(words)
+        word, shape, more, offset = self.folded()
+        return self._out(text_sums(words, [(word, own), (shape, look)]) / np.maximum(words.counts, 1)[:, None] + rest @ more + offset)
+
 
 def context_vectors(docs: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """Unit context vectors of all word and shape buckets, from every document. A fixed number of rows comes to the driver."""
@@ -189,7 +242,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7, key: str = "
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offsets in slices(batch.column("body")):
-                yield pa.RecordBatch.from_arrays([batch.column("key")[lo:hi].cast(pa.int64()), pa.array(model.score(model.pool(Words(buf, offsets))))], names=["key", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("key")[lo:hi].cast(pa.int64()), pa.array(model.score_texts(Words(buf, offsets)))], names=["key", "score"])
 
     scored = text_of(docs, key, text).mapInArrow(run, "key long, score double")
     return scored.select(F.col("key").alias(key), F.coalesce(fold("key", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
