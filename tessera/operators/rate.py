@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessera.functions.workers import ship
@@ -14,34 +18,79 @@ def cumulate(passes: DataFrame) -> DataFrame:
     return passes.withColumn("rate", F.sum("len").over(w).cast("long")).withColumn("saved", F.sum("dist").over(w).cast("long"))
 
 
-def hull_slopes(passes: DataFrame) -> DataFrame:
-    """Slopes of the truncation points on each block's upper hull, strictly falling; 0 for all others. A block has at most some tens of passes."""
-
-    def hull(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("pass").reset_index(drop=True)
-        kept: list[int] = []
-        at = lambda i: (0, 0) if i < 0 else (int(df.rate[i]), int(df.saved[i]))
-        for i in range(len(df)):
-            while True:
-                prev = kept[-1] if kept else -1
-                (r0, d0), (r1, d1) = at(prev), at(i)
-                if d1 <= d0 or r1 <= r0:
-                    break
-                if kept:
-                    (ra, da) = at(kept[-2] if len(kept) > 1 else -1)
-                    if (d1 - d0) * (r0 - ra) >= (d0 - da) * (r1 - r0):
-                        kept.pop()
-                        continue
-                kept.append(i)
+#: Fixed values of the log domain: 256 steps for each doubling of a slope, 2^64 as the steepest, and places 1 to 65535; 0 marks a point that is not feasible.
+STEPS, STEEPEST, PLACES = 256, 2.0**64, 1 << 16
+_SCALE = STEPS / math.log(2)
+
+
+def to_log(slope: float) -> int:
+    """A positive slope's place in the log domain."""
+    return int(min(PLACES - 1, max(1.0, math.log(min(slope, STEEPEST)) * _SCALE - math.log(STEEPEST) * _SCALE + PLACES)))
+
+
+def hull(rates: list[int], saved: list[int]) -> dict[int, tuple[float, int]]:
+    """The feasible truncation points of one block, by index, with slope and place in the log domain.
+
+    A point is feasible if distortion falls all the way from the feasible point before it, and if slopes fall strictly from point to point, in the log
+    domain too; where they don't, the earlier point goes, and so does one that the current point reaches at no cost.
+    """
+    kept: list[int] = []
+    found: dict[int, tuple[float, int]] = {}
+    for i, (rate, total) in enumerate(zip(rates, saved, strict=True)):
+        low = i  # the passes down to here were seen to save something
+        while True:
+            before = kept[-1] if kept else -1
+            while low > before and total > (saved[low - 1] if low else 0):
+                low -= 1
+            if low > before:
                 break
-        slope = [0.0] * len(df)
-        for j, i in enumerate(kept):
-            (r0, d0), (r1, d1) = at(kept[j - 1] if j else -1), at(i)
-            slope[i] = (d1 - d0) / (r1 - r0)
-        return df.assign(slope=slope)[["cblk", "pass", "rate", "saved", "slope"]]
+            dr, dd = rate - (rates[before] if kept else 0), total - (saved[before] if kept else 0)
+            if kept and (dr == 0 or found[before][0] * dr <= dd):
+                del found[kept.pop()]
+                continue
+            slope = dd / dr if dr else math.inf
+            found[i] = slope, to_log(slope)
+            if kept and found[i][1] >= found[before][1]:
+                del found[kept.pop()]
+            kept.append(i)
+            break
+    return found
+
+
+def hull_slopes(passes: DataFrame) -> DataFrame:
+    """rate, saved, slope and logslope of every pass, both 0 where it isn't on its block's hull. A block has at most some tens of passes by the format;
+    blocks are read as a sorted stream, one in memory at a time."""
+    names = ["cblk", "pass", "rate", "saved"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def close(columns: list[np.ndarray]) -> pa.RecordBatch:
+            """Whole blocks, one after another."""
+            slope, place = np.zeros(len(columns[0])), np.zeros(len(columns[0]), np.int64)
+            edges = np.flatnonzero(np.diff(columns[0], prepend=columns[0][0] - 1))
+            rates, saved = columns[2].tolist(), columns[3].tolist()
+            for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(slope)], strict=True):
+                for i, (x, at) in hull(rates[a:z], saved[a:z]).items():
+                    slope[a + i], place[a + i] = x, at
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, slope, place)], names=[*names, "slope", "logslope"])
+
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last block may go on
+            if cut:
+                yield close([c[:cut] for c in now])
+            held = [c[cut:] for c in now]
+        if held is not None and len(held[0]):
+            yield close(held)
 
     ship(passes.sparkSession)
-    return passes.select("cblk", "pass", "rate", "saved").groupBy("cblk").applyInPandas(hull, "cblk long, pass long, rate long, saved long, slope double")
+    dealt = passes.select(*(F.col(c).cast("long").alias(c) for c in names)).repartition("cblk").sortWithinPartitions("cblk", "pass")
+    return dealt.mapInArrow(run, "cblk long, pass long, rate long, saved long, slope double, logslope long")
 
 
 def first_slopes(passes: DataFrame) -> DataFrame:
@@ -49,31 +98,36 @@ def first_slopes(passes: DataFrame) -> DataFrame:
     return passes.withColumn("slope", F.col("dist").cast("double") / F.col("len"))
 
 
-def make_layer(passes: DataFrame, threshold: float) -> DataFrame:
-    """What each block contributes at a threshold: passes up to the last one steeper than it, and their bytes."""
-    last = passes.groupBy("cblk").agg(F.max(F.when(F.col("slope") > threshold, F.col("pass"))).alias("last"))
-    return passes.join(last, "cblk").where("pass = last").select("cblk", "last", "rate")
+def _included(passes: DataFrame, thresholds: list[int]) -> DataFrame:
+    """cblk, and for each threshold b0, b1, ... the last pass (with its rate) before the first feasible one that is no steeper. One shuffle for all."""
+    block = W.partitionBy("cblk")
+    flat = [F.min(F.when((F.col("logslope") > 0) & (F.col("logslope") <= t), F.col("pass"))).over(block).alias(f"f{i}") for i, t in enumerate(thresholds)]
+    seen = passes.where("logslope > 0").select("cblk", "pass", "rate", "logslope", *flat)
+    best = [F.max(F.when((F.col("logslope") > t) & (F.col(f"f{i}").isNull() | (F.col("pass") < F.col(f"f{i}"))), F.struct("pass", "rate"))).alias(f"b{i}") for i, t in enumerate(thresholds)]
+    return seen.groupBy("cblk").agg(*best)
+
+
+def make_layer(passes: DataFrame, threshold: int) -> DataFrame:
+    """What each block contributes at a threshold in the log domain: passes up to the first feasible one that is no steeper, and their bytes."""
+    return _included(passes, [threshold]).where("b0 is not null").select("cblk", F.col("b0.pass").alias("last"), F.col("b0.rate").alias("rate"))
 
 
-def allocate_layers(passes: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Bytes of each layer over all blocks, for falling thresholds."""
-    sums = [F.max(F.when(F.col("slope") > t, F.col("rate"))).alias(f"t{i}") for i, t in enumerate(thresholds)]
-    blocks = passes.groupBy("cblk").agg(*sums)
-    total = [F.coalesce(F.sum(f"t{i}"), F.lit(0)).cast("long").alias(f"t{i}") for i in range(len(thresholds))]
-    one = blocks.agg(*total)
+def allocate_layers(passes: DataFrame, thresholds: list[int]) -> DataFrame:
+    """Bytes of each layer over all blocks, for falling thresholds in the log domain and slopes that fall within a block."""
+    blocks = _included(passes, thresholds)
+    one = blocks.agg(*(F.coalesce(F.sum(f"b{i}.rate"), F.lit(0)).cast("long").alias(f"t{i}") for i in range(len(thresholds))))
     rows = F.array(*(F.struct(F.lit(i).alias("layer"), (F.col(f"t{i}") - (F.col(f"t{i - 1}") if i else F.lit(0))).cast("long").alias("bytes"), F.col(f"t{i}").alias("upto")) for i in range(len(thresholds))))
     return one.select(F.inline(rows))
 
 
-def threshold_for(passes: DataFrame, budget: int, buckets: int = 4096) -> DataFrame:
-    """The least threshold whose bytes fit the budget: slopes are counted in buckets, then summed from the steepest down (no bisection over the data)."""
-    hull = passes.where("slope > 0")
+def threshold_for(passes: DataFrame, budget: int) -> DataFrame:
+    """The least threshold whose bytes fit the budget, and those bytes: bytes are summed for each of the 65,535 places, then from the steepest down
+    (one pass over the data in place of a bisection)."""
     step = W.partitionBy("cblk").orderBy("pass")
-    added = hull.withColumn("add", F.col("rate") - F.coalesce(F.lag("rate").over(step), F.lit(0)))
-    log = F.floor(F.log2("slope") * 64).cast("long")
-    counted = added.groupBy(log.alias("bucket")).agg(F.sum("add").cast("long").alias("bytes"))
-    run = counted.withColumn("upto", F.sum("bytes").over(W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, 0)).cast("long"))
-    return run.where(F.col("upto") <= budget).agg(F.min("bucket").alias("bucket"), F.max("upto").alias("bytes"))
+    added = passes.where("logslope > 0").withColumn("add", F.col("rate") - F.coalesce(F.lag("rate").over(step), F.lit(0)))
+    counted = added.groupBy("logslope").agg(F.sum("add").cast("long").alias("bytes"))  # 65,535 rows at most
+    run = counted.withColumn("upto", F.sum("bytes").over(W.orderBy(F.desc("logslope")).rowsBetween(W.unboundedPreceding, 0)).cast("long"))
+    return run.agg(F.coalesce(F.max(F.when(F.col("upto") > budget, F.col("logslope"))), F.lit(0)).cast("long").alias("threshold"), F.coalesce(F.max(F.when(F.col("upto") <= budget, F.col("upto"))), F.lit(0)).cast("long").alias("bytes"))
 
 
 def slope_bounds(passes: DataFrame) -> DataFrame:
@@ -81,8 +135,9 @@ def slope_bounds(passes: DataFrame) -> DataFrame:
 
 
 def log_slope(passes: DataFrame) -> DataFrame:
-    """ln of the slope in 8.8 fixed point, from 0 up."""
-    return passes.withColumn("logslope", F.when(F.col("slope") > 0, F.greatest(F.lit(0), F.floor(F.log("slope") * 256 + 0.5) + 2048)).otherwise(0).cast("long"))
+    """Places of slopes in the log domain; 0 where a slope isn't positive."""
+    place = F.log(F.least("slope", F.lit(STEEPEST))) * _SCALE - math.log(STEEPEST) * _SCALE + PLACES
+    return passes.withColumn("logslope", F.when(F.col("slope") > 0, F.greatest(F.lit(1), F.least(F.lit(PLACES - 1), F.floor(place)))).otherwise(0).cast("long"))
 
 
 def target_bytes(samples: int, prec: int, ratio: float) -> int:

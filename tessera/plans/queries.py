@@ -34,9 +34,11 @@ def region_filter(spark, d):
     return S.region(R.rgb_img(spark, d), S.region_bounds((10, 3, 75, 500), 128, 41)).select("comp", "y", "x", "v")
 
 
-@query(sql("emb", "select y, x, v from emb where x >= 16 and x < 48 and y >= 125 and y < 375"))
+@query(sql("emb", ", h as (select max(y) + 1 h from emb) select y, x, v from emb, h where x >= 16 and x < 48 and y >= floor(0.25 * h) and y < ceil(0.75 * h)"))
 def region_fractional(spark, d):
-    return S.region(R.emb_grid(spark, d), S.region_bounds((0.25, 0.25, 0.75, 0.75), 64, 500)).select("y", "x", "v")
+    img = R.emb_grid(spark, d)
+    height = img.agg(F.max("y")).first()[0] + 1
+    return S.region(img, S.region_bounds((0.25, 0.25, 0.75, 0.75), 64, height)).select("y", "x", "v")
 
 
 @query(sql("wide rgb", "select (y // 16) * 8 + x // 16 tile, comp, count(*) n, sum(v)::bigint total from rgb group by all"))
@@ -56,13 +58,8 @@ def _tiles(spark) -> DataFrame:
 _TILES = "tiles as (select t tile, (t % 8) * 17 x0, (t // 8) * 13 y0, least((t % 8 + 1) * 17, 128) x1, least((t // 8 + 1) * 13, 79) y1 from range(0, 56) r(t))"
 
 
-@query(sql("regions", f", {_TILES} select tile from tiles where exists (select 1 from regions r where greatest(r.x0, tiles.x0) < least(r.x1, tiles.x1) and greatest(r.y0, tiles.y0) < least(r.y1, tiles.y1) and region < 3)"))
-def tile_slate_semi(spark, d):
-    return S.slated_tiles(_tiles(spark), R.regions(spark, d).where("region < 3")).select("tile")
-
-
 @query(sql("regions", f", {_TILES} select tile from tiles where exists (select 1 from regions r where greatest(r.x0, tiles.x0) < least(r.x1, tiles.x1) and greatest(r.y0, tiles.y0) < least(r.y1, tiles.y1))"))
-def tile_slate_semi_whole(spark, d):
+def tile_slate_semi(spark, d):
     return S.slated_tiles(_tiles(spark), R.regions(spark, d)).select("tile")
 
 
@@ -254,11 +251,13 @@ def mct_norms(spark, d):
     return point.mct_norms(spark.createDataFrame(inverse, "row int, col int, m double"))
 
 
-@query(sql(_RGB, "select c comp, y, x, v from rgb, unnest([comp]) t(c) where v % 2 = 1"))
+@query(sql(_RGB, ", h as (select max(y) + 1 h from rgb) select c comp, y, x, coalesce(v, 7) v from range(0, 3) a(c), range(0, 128) b(x), range(0, (select h from h)) e(y) left join rgb on comp = c and rgb.x = b.x and rgb.y = e.y where coalesce(v, 7) % 2 = 1".replace("y, x, coalesce(v, 7) v", "e.y, b.x, coalesce(v, 7) v")))
 def uniform_join(spark, d):
-    """A uniform image (the constructor) joined with samples: those that are odd."""
-    canvas = uniform(spark, 3, 128, 1000, 1)
-    return R.rgb_img(spark, d).join(canvas.withColumnRenamed("v", "one"), ["comp", "y", "x"]).where("v % 2 = one").select("comp", "y", "x", "v")
+    """A uniform image (the constructor) under the samples: of all its places the odd values; 7 where the last line lacks a sample."""
+    img = R.rgb_img(spark, d)
+    canvas = uniform(spark, 3, 128, img.agg(F.max("y")).first()[0] + 1, 7)
+    both = canvas.withColumnRenamed("v", "own").join(img.select("comp", "y", "x", "v"), ["comp", "y", "x"], "left").select("comp", "y", "x", F.coalesce("v", "own").alias("v"))
+    return both.where("v % 2 = 1")
 
 
 def uniform(spark: SparkSession, comps: int, w: int, h: int, value: int) -> DataFrame:
@@ -514,24 +513,42 @@ def _cum(spark, d):
     return rate.first_slopes(rate.cumulate(R.passes(spark, d)))
 
 
-@query(sql("passes", f", {_CUM}, m as (select cblk, max(pass) filter (slope > 20) as last from c group by cblk) select c.cblk, last, rate from c join m on c.cblk = m.cblk and c.pass = m.last"))
+_LOG = "greatest(1, least(65535, cast(floor(ln(least({0}, 18446744073709551616.0::double)) * (256 / ln(2.0::double)) - ln(18446744073709551616.0::double) * (256 / ln(2.0::double)) + 65536) as bigint)))"
+#: The hull, a pass at a time: the last feasible point goes while the new slope is as steep, and once more if both have one place in the log domain.
+_HULL = f"""with recursive {R.SQL["passes"]}, {_CUM}, k as (
+  select cblk, 1::bigint i, []::struct(pass bigint, rate bigint, saved bigint, slope double, place bigint)[] kept from (select distinct cblk from c)
+  union all
+  select cblk, case when pop then i else i + 1 end, case when pop then kept[1:len(kept) - 1] else list_append(case when place >= kept[-1].place then kept[1:len(kept) - 1] else kept end, {{'pass': i, 'rate': rate, 'saved': saved, 'slope': slope, 'place': place}}) end
+  from (select *, coalesce(kept[-1].slope * dr <= dd, false) pop, dd / dr slope, {_LOG.format("dd / dr")} place
+    from (select k.cblk, k.i, k.kept, c.rate, c.saved, (c.rate - coalesce(kept[-1].rate, 0))::double dr, (c.saved - coalesce(kept[-1].saved, 0))::double dd from k join c on c.cblk = k.cblk and c.pass = k.i))),
+h as (select cblk, unnest(kept, recursive := true) from (select cblk, max_by(kept, i) kept from k group by cblk)),
+hull as (select c.cblk, c.pass, c.rate, c.saved, coalesce(h.slope, 0) slope, coalesce(h.place, 0)::bigint logslope from c left join h using (cblk, pass))"""
+#: A block's passes up to the first feasible one that is no steeper than t.
+_UPTO = "(select cblk, max(pass) \"last\", max_by(rate, pass) rate from (select *, min(pass) filter (logslope > 0 and logslope <= {0}) over (partition by cblk) flat from hull) where logslope > {0} and (flat is null or pass < flat) group by cblk)"
+
+
+def _hulled(spark, d):
+    return rate.hull_slopes(rate.cumulate(R.passes(spark, d)))
+
+
+@query(f"{_HULL} select * from {_UPTO.format(50258)}")
 def make_layer(spark, d):
-    return rate.make_layer(_cum(spark, d), 20.0)
+    return rate.make_layer(_hulled(spark, d), 50258)
 
 
-@query(sql("passes", f", {_CUM}, b as (select cblk, max(rate) filter (slope > 200) t0, max(rate) filter (slope > 50) t1, max(rate) filter (slope > 5) t2 from c group by cblk), s as (select coalesce(sum(t0), 0)::bigint t0, coalesce(sum(t1), 0)::bigint t1, coalesce(sum(t2), 0)::bigint t2 from b) select 0 as layer, t0 bytes, t0 upto from s union all select 1, t1 - t0, t1 from s union all select 2, t2 - t1, t2 from s"))
+@query(f"{_HULL}, s as (select (select coalesce(sum(rate), 0)::bigint from {_UPTO.format(51108)}) t0, (select coalesce(sum(rate), 0)::bigint from {_UPTO.format(50596)}) t1, (select coalesce(sum(rate), 0)::bigint from {_UPTO.format(49746)}) t2) select 0 as layer, t0 bytes, t0 upto from s union all select 1, t1 - t0, t1 from s union all select 2, t2 - t1, t2 from s")
 def layer_alloc(spark, d):
-    return rate.allocate_layers(_cum(spark, d), [200.0, 50.0, 5.0])
+    return rate.allocate_layers(_hulled(spark, d), [51108, 50596, 49746])
 
 
-@query()
+@query(f"{_HULL} select * from hull")
 def hull_slopes(spark, d):
-    return rate.hull_slopes(rate.cumulate(R.passes(spark, d)))
+    return _hulled(spark, d)
 
 
-@query()
+@query(f"{_HULL}, a as (select logslope, rate - coalesce(lag(rate) over (partition by cblk order by pass), 0) add from hull where logslope > 0), b as (select logslope, sum(add) bytes from a group by 1), u as (select logslope, (sum(bytes) over (order by logslope desc))::bigint upto from b) select coalesce(max(logslope) filter (upto > 100000), 0)::bigint threshold, coalesce(max(upto) filter (upto <= 100000), 0)::bigint bytes from u")
 def pcrd_threshold(spark, d):
-    return rate.threshold_for(rate.hull_slopes(rate.cumulate(R.passes(spark, d))), 100_000)
+    return rate.threshold_for(_hulled(spark, d), 100_000)
 
 
 @query(sql("passes", f", {_CUM} select min(slope) least, max(slope) greatest from c where slope > 0"))
@@ -539,7 +556,7 @@ def slope_bounds(spark, d):
     return rate.slope_bounds(_cum(spark, d))
 
 
-@query(sql("passes", f", {_CUM} select cblk, pass, cast(greatest(0, floor(ln(slope) * 256 + 0.5) + 2048) as bigint) logslope from c"))
+@query(sql("passes", f", {_CUM} select cblk, pass, {_LOG.format('slope')} logslope from c"))
 def log_slope(spark, d):
     return rate.log_slope(_cum(spark, d)).select("cblk", "pass", "logslope")
 
@@ -560,17 +577,18 @@ def swath_copy(spark, d):
     return T.swath(R.rgb_img(spark, d).withColumn("v", F.col("v") * 2 - 100), (5, 2, 25, 12), [3, 1])
 
 
-@query(sql("trace", ", u as (select cache, step, tile, lag(step) over (partition by cache, tile order by step) as last from trace where step <= 400) select cache, step, tile, last is not null and (select count(distinct t.tile) from u t where t.cache = u.cache and t.step > u.last and t.step < u.step) < 6 hit from u"))
+@query(sql("trace", ", u as (select cache, step, tile, lag(step) over (partition by cache, tile order by step) as last from trace) select cache, step, tile, last is not null and (select count(distinct t.tile) from u t where t.cache = u.cache and t.step > u.last and t.step < u.step) < 6 hit from u"))
 def lru_trace(spark, d):
-    return T.lru_trace(R.access_trace(spark, d).where("step <= 400"), 6)
-
-
-@query()
-def lru_trace_whole(spark, d):
     return T.lru_trace(R.access_trace(spark, d), 6)
 
 
-@query()
+@query("with recursive " + R.SQL["trace"] + """, c as (
+  select cache, 1::bigint step, null::bigint tile, null::boolean hit, []::struct(tile bigint, size bigint)[] held from (select distinct cache from trace)
+  union all
+  select cache, step + 1, asked, was, list_filter(now, lambda x, i: i = len(now) or list_sum(list_transform(now[i:], lambda e: e.size)) <= 40)
+  from (select c.cache, c.step, t.tile asked, len(list_filter(held, lambda e: e.tile = t.tile)) > 0 was, list_append(list_filter(held, lambda e: e.tile <> t.tile), {'tile': t.tile, 'size': 1 + t.tile % 7}) now
+    from c join trace t on t.cache = c.cache and t.step = c.step))
+select cache, step - 1 step, tile, hit from c where tile is not null""")
 def lru_bytes(spark, d):
     return T.lru_bytes(R.access_trace(spark, d).withColumn("size", 1 + F.col("tile") % 7), 40)
 
@@ -615,13 +633,8 @@ def sparse_buffer(spark, d):
     return T.chunk_places(docs).select("stream", "piece", "offset")
 
 
-@query(sql("wide", "select y, x, [r, g, b] pixel from wide where y < 4"))
-def pack_interleave(spark, d):
-    return T.pack_interleaved(R.rgb_img(spark, d).where("y < 4"))
-
-
 @query(sql("wide", "select y, x, [r, g, b] pixel from wide"))
-def pack_interleave_whole(spark, d):
+def pack_interleave(spark, d):
     return T.pack_interleaved(R.rgb_img(spark, d))
 
 
@@ -657,14 +670,8 @@ def canon_md5(spark, d):
     return C.canonical(R.rgb_img(spark, d))
 
 
-@query(sql("wide", ", a as (select x, y, r from wide where y < 9), b as (select x, y, r from wide where y > 2 and y < 11) select x, y, r, 'left' side from (select * from a except all select * from b) union all select x, y, r, 'right' from (select * from b except all select * from a)"))
-def dump_difference(spark, d):
-    w = R.rgb_wide(spark, d).select("x", "y", "r")
-    return C.same_rows(w.where("y < 9"), w.where("y > 2 and y < 11"))
-
-
 @query(sql("wide", ", a as (select x, y, r from wide where y % 5 <> 2), b as (select x, y, r from wide where y % 5 <> 3) select x, y, r, 'left' side from (select * from a except all select * from b) union all select x, y, r, 'right' from (select * from b except all select * from a)"))
-def dump_difference_whole(spark, d):
+def dump_difference(spark, d):
     """Each line is in one dump at least."""
     w = R.rgb_wide(spark, d).select("x", "y", "r")
     return C.same_rows(w.where("y % 5 != 2"), w.where("y % 5 != 3"))
@@ -703,33 +710,20 @@ def format_detect(spark, d):
     return r.select(F.col("region").cast("string").alias("path"), CS.detect(content).alias("fmt"))
 
 
-@query("select page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/]+)/?(.*)$', 1) scheme, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/]+)/?(.*)$', 2) bucket, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/]+)/?(.*)$', 3) object from pages where url is not null")
+@query("select page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/]+)/?(.*)$', 1) scheme, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/]+)/?(.*)$', 2) bucket, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/]+)/?(.*)$', 3) object from pages")
 def url_parse(spark, d):
     parts = CS.url_parts(F.col("url"))
-    return R.table(spark, d, "pages").where("url is not null").select("page_id", *(c.alias(n) for n, c in parts.items()))
-
-
-@query("with r as (select event_id % 5 movie, event_id entry, user_id % 4 n, cast(floor(value) as bigint) v from events where event_id < 500), p as (select *, coalesce(sum(n) over (partition by movie order by entry rows between unbounded preceding and 1 preceding), 0)::bigint f from r) select movie, f + i frame, v from p, unnest(range(0, n)) t(i)")
-def mj2_decompact(spark, d):
-    e = R.table(spark, d, "events").where("event_id < 500")
-    return CS.decompact(e.select((F.col("event_id") % 5).alias("movie"), F.col("event_id").alias("entry"), (F.col("user_id") % 4).cast("long").alias("n"), F.floor("value").cast("long").alias("v")))
+    return R.table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in parts.items()))
 
 
 @query("with r as (select event_id % 5 movie, event_id entry, user_id % 4 n, cast(floor(value) as bigint) v from events), p as (select *, coalesce(sum(n) over (partition by movie order by entry rows between unbounded preceding and 1 preceding), 0)::bigint f from r) select movie, f + i frame, v from p, unnest(range(0, n)) t(i)")
-def mj2_decompact_whole(spark, d):
+def mj2_decompact(spark, d):
     e = R.table(spark, d, "events")
     return CS.decompact(e.select((F.col("event_id") % 5).alias("movie"), F.col("event_id").alias("entry"), (F.col("user_id") % 4).cast("long").alias("n"), F.floor("value").cast("long").alias("v")))
 
 
-@query(sql(_RGB, "select comp, y, x, v from rgb where y < 7"))
-def pnm_roundtrip(spark, d):
-    """Samples to a PNM file's bytes and back."""
-    files = RF.to_files(R.rgb_img(spark, d).where("y < 7"), 8)
-    return RF.read_samples(files.withColumnRenamed("name", "path")).select("comp", "y", "x", "v")
-
-
 @query(sql("wide", ", size as (select max(y) h from wide), grid as (select x, y from range(0, 128) a(x), range(0, (select h + 1 from size)) b(y)) select c comp, g.y, g.x, coalesce(case c when 0 then r when 1 then w.g else b end, 0) v from grid g left join wide w using (x, y), unnest([0, 1, 2]) t(c)"))
-def pnm_roundtrip_whole(spark, d):
+def pnm_roundtrip(spark, d):
     """Samples to a PNM file's bytes and back; what the ragged last line lacks is 0."""
     files = RF.to_files(R.rgb_img(spark, d), 8)
     return RF.read_samples(files.withColumnRenamed("name", "path")).select("comp", "y", "x", "v")
