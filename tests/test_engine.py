@@ -38,7 +38,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_hull(spark):
-    """Slopes fall strictly along each block's kept points, and no dropped point lies above the hull."""
+    """Slopes fall strictly along each block's kept points, and no dropped point lies above the hull by more than a place of the log domain."""
     rows = QUERIES["hull_slopes"](spark, DATA).collect()
     blocks = {}
     for r in sorted(rows, key=lambda r: (r.cblk, r["pass"])):
@@ -50,7 +50,19 @@ def test_hull(spark):
         for r in own:
             for a, b in zip(kept, kept[1:]):
                 if a[0] <= r.rate <= b[0]:
-                    assert r.saved <= a[1] + (b[1] - a[1]) / (b[0] - a[0]) * (r.rate - a[0]) + 1e-9
+                    assert r.saved <= a[1] + (b[1] - a[1]) / (b[0] - a[0]) * (r.rate - a[0]) + (2 ** (1 / 256) - 1) * (b[1] - a[1])
+
+
+def test_hull_by_hand():
+    """Points that cost nothing, that save nothing, and whose slopes share a place of the log domain."""
+    from tessera.operators.rate import hull, to_log
+
+    assert [to_log(x) for x in (1.0, 2.0, 0.5, 2.0**64, 2.0**70, 2.0**-300)] == [49152, 49408, 48896, 65535, 65535, 1]
+    assert sorted(hull([10, 10, 30], [100, 200, 300])) == [1, 2]  # the second pass costs nothing, so the first goes
+    assert sorted(hull([10, 20, 30], [100, 100, 150])) == [0, 2]  # the second saves nothing
+    assert sorted(hull([10, 20, 30], [100, 90, 95])) == [0]  # the third is below the first
+    assert sorted(hull([10, 20], [100, 300])) == [1] and sorted(hull([1000, 2000], [100_000, 199_999])) == [1]
+    assert hull([], []) == {}
 
 
 def test_budget(spark):
