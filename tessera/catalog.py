@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import queries as plans
+from tessera.plans import coded, containers, queries as plans
+
+#: Modules whose queries are registered when they are read.
+REGISTERED = (coded, containers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -113,3 +113,10 @@ def seek(queries: DataFrame, parts: DataFrame, block: int = 1 << 20) -> DataFram
     covered = parts.select("seq", "offset", "length", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("length") - 1) / block))).alias("block"))
     asked = queries.withColumn("block", F.floor(F.col("at") / block))
     return asked.join(covered, "block").where("at >= offset and at < offset + length").select("at", "seq", (F.col("at") - F.col("offset")).alias("within"))
+
+
+def newly_needed(packets: DataFrame, had: DataFrame, layers: int, resolutions: int) -> DataFrame:
+    """Packets of the first ``layers`` layers and ``resolutions`` resolutions that their tile wasn't decoded with. had: tile, layers, res, for tiles decoded before."""
+    wanted = packets.where((F.col("layer") < layers) & (F.col("res") < resolutions))
+    state = had.select("tile", F.col("layers").alias("had_layers"), F.col("res").alias("had_res"))
+    return wanted.join(state, "tile", "left").where("had_layers is null or layer >= had_layers or res >= had_res").drop("had_layers", "had_res")

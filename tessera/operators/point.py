@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.geometry import clamp
@@ -100,9 +102,16 @@ def sycc444(pixels: DataFrame) -> DataFrame:
 
 
 def sycc_subsampled(luma: DataFrame, chroma: DataFrame, dx: int, dy: int, odd_x: int = 0, odd_y: int = 0) -> DataFrame:
-    """luma (x, y, l) and chroma (x, y, cb, cr) at a dx-th and dy-th of its size; each chroma sample covers dx times dy of luma."""
-    placed = luma.withColumn("cx", F.floor((F.col("x") + odd_x) / dx).cast("long")).withColumn("cy", F.floor((F.col("y") + odd_y) / dy).cast("long"))
-    both = placed.join(chroma.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "cb", "cr"), ["cx", "cy"])
+    """luma (x, y, l) and chroma (x, y, cb, cr) at a dx-th and dy-th of its size; each chroma sample covers dx times dy of luma.
+
+    Where the grid begins at an odd line or column, chroma begins after it. The odd first line has no chroma, and its samples are taken as 0; so are those of
+    the odd first column, but for the lines that repeat a line of chroma."""
+    cx, cy = F.floor(F.greatest(F.col("x") - odd_x, F.lit(0)) / dx), F.floor((F.col("y") - odd_y) / dy)
+    none = (F.col("y") < odd_y) | ((F.col("x") < odd_x) & (F.pmod(F.col("y") - odd_y, F.lit(dy)) == 0))
+    placed = luma.withColumn("cx", cx.cast("long")).withColumn("cy", cy.cast("long")).withColumn("none", none)
+    held = chroma.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "cb", "cr")
+    both = placed.join(held, ["cx", "cy"], "left" if odd_x or odd_y else "inner").where("none or cb is not null")
+    both = both.select("x", "y", "l", *(F.when(F.col("none"), F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) for c in ("cb", "cr")))
     red, green, blue = sycc_to_rgb(F.col("l"), F.col("cb"), F.col("cr"))
     return both.select("x", "y", red.alias("r"), green.alias("g"), blue.alias("b"))
 
@@ -158,13 +167,28 @@ def upsample(samples: DataFrame, dx: int, dy: int) -> DataFrame:
     return wide.withColumn("x", F.col("x") * dx + F.col("i")).withColumn("y", F.col("y") * dy + F.col("j")).drop("i", "j")
 
 
+#: The matrix of the sRGB primaries.
+PRIMARIES = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+
+
+def inverse(matrix: DataFrame) -> DataFrame:
+    """The inverse of a square matrix in rows (row, col, m), as large as the number of components; an error where there is none."""
+
+    def solve(df: pd.DataFrame) -> pd.DataFrame:
+        n = int(df["row"].max()) + 1
+        full = np.zeros((n, n))
+        full[df["row"], df["col"]] = df["m"]
+        row, col = np.divmod(np.arange(n * n), n)
+        return pd.DataFrame({"row": row, "col": col, "m": np.linalg.inv(full).reshape(-1)})
+
+    return matrix.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(solve, "row long, col long, m double")
+
+
 def rgb_to_xyz(pixels: DataFrame, prec: int = 12) -> DataFrame:
     """Rec. 709 to DCI X'Y'Z': linear light, matrix, 48 / 52.37, and the projector's gamma."""
     top = float((1 << prec) - 1)
     lin = [F.pow(F.col(c) / top, F.lit(2.2)) for c in "rgb"]
-    #: Fixed values of the sRGB primaries' matrix.
-    matrix = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
-    rows = [sum((a * c for a, c in zip(m, lin, strict=True)), F.lit(0.0)) for m in matrix]
+    rows = [sum((a * c for a, c in zip(m, lin, strict=True)), F.lit(0.0)) for m in PRIMARIES]
     return pixels.select("x", "y", *((F.pow(e * (48 / 52.37), F.lit(1 / 2.6)) * top).alias(n) for n, e in zip(("cx", "cy", "cz"), rows, strict=True)))
 
 

@@ -54,9 +54,3 @@ def tag_tree(leaves: DataFrame, levels: int) -> DataFrame:
         low = low.groupBy(F.floor(F.col("x") / 2).cast("long").alias("x"), F.floor(F.col("y") / 2).cast("long").alias("y")).agg(F.min("v").alias("v")).select(F.lit(level).alias("level"), "x", "y", "v")
         out = out.unionByName(low)
     return out
-
-
-#: Quality of 1..100 to a factor of the step, knee at 65, nothing gained beyond 97.
-def quality_step(q: Column) -> Column:
-    q = F.least(F.greatest(q, F.lit(1)), F.lit(97)).cast("double")
-    return F.when(q < 65, 65.0 / q * 0.7).otherwise(2.0 - 0.02 * q)

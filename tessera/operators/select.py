@@ -92,3 +92,23 @@ def progression_state(changes: DataFrame) -> DataFrame:
 
 def renumber(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
+
+
+def window_tiles(windows: DataFrame, origin: tuple[int, int], tile: tuple[int, int], limits: tuple[int, int, int, int]) -> DataFrame:
+    """Adds the tile columns tx0 to tx1 and rows ty0 to ty1 (half open) under each window, clipped to the tiles x0, y0, x1, y1 of ``limits``; empty windows have none."""
+    out = windows.where("x0 < x1 and y0 < y1")
+    for axis, first, size, lo, hi in (("x", origin[0], tile[0], limits[0], limits[2]), ("y", origin[1], tile[1], limits[1], limits[3])):
+        out = out.withColumn(f"t{axis}0", F.greatest(F.lit(lo), F.floor((F.col(f"{axis}0") - first) / size)).cast("long"))
+        out = out.withColumn(f"t{axis}1", F.least(F.lit(hi), F.floor((F.col(f"{axis}1") - first - 1) / size) + 1).cast("long"))
+    return out
+
+
+def pan(rects: DataFrame, x: int, y: int) -> DataFrame:
+    """Rectangles relative to (x, y)."""
+    return rects.withColumns({c: F.col(c) - (x if c[0] == "x" else y) for c in ("x0", "y0", "x1", "y1")})
+
+
+def bounding(rects: DataFrame) -> DataFrame:
+    """The least rectangle around all that aren't empty, and the sum of their areas."""
+    some = rects.where("x0 < x1 and y0 < y1")
+    return some.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))

@@ -18,10 +18,10 @@ def composite(tiles: DataFrame, canvas: DataFrame) -> DataFrame:
 RANGES = {"u8": (0, 255), "i16": (-32768, 32767), "u16": (0, 65535), "u32": (0, 4294967295), "i32": (-2147483648, 2147483647)}
 
 
-def swath(samples: DataFrame, bounds: tuple[int, int, int, int], band_map: list[int], kind: str = "u8", spacing: tuple[int, int, int] | None = None) -> DataFrame:
+def swath(samples: DataFrame, bounds: tuple[int, int, int, int], band_map: list[int], kind: str = "u8", spacing: tuple[int, int, int] | None = None, alpha: int = 0) -> DataFrame:
     """Samples of a rectangle as a caller's buffer: bands (1-based components) in the order of band_map, clamped, with each sample's place.
 
-    spacing: between pixels, lines and bands; by default band after band."""
+    spacing: between pixels, lines and bands; by default band after band. alpha: the component (from 1) that is an opacity of one bit, and becomes 0 or 255."""
     x0, y0, x1, y1 = bounds
     w, h = x1 - x0, y1 - y0
     px, line, plane = spacing or (1, w, w * h)
@@ -29,7 +29,8 @@ def swath(samples: DataFrame, bounds: tuple[int, int, int, int], band_map: list[
     bands = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(c - 1).alias("c")) for b, c in enumerate(band_map)))
     inside = samples.where(f"x >= {x0} and x < {x1} and y >= {y0} and y < {y1}").withColumn("m", F.explode(F.filter(bands, lambda m: m["c"] == F.col("comp"))))
     place = F.col("m.band") * plane + (F.col("y") - y0) * line + (F.col("x") - x0) * px
-    return inside.select(F.col("m.band").alias("band"), place.cast("long").alias("place"), F.greatest(F.lit(lo), F.least(F.lit(hi), F.col("v"))).cast("long").alias("v"))
+    value = F.when(F.col("comp") == alpha - 1, F.col("v") * 255).otherwise(F.col("v"))
+    return inside.select(F.col("m.band").alias("band"), place.cast("long").alias("place"), F.greatest(F.lit(lo), F.least(F.lit(hi), value)).cast("long").alias("v"))
 
 
 def pack_interleaved(samples: DataFrame) -> DataFrame:

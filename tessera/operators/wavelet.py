@@ -161,3 +161,35 @@ def dwt53_blocks(blocks: DataFrame) -> DataFrame:
 
     ship(blocks.sparkSession)
     return blocks.select("image_id", "comp", "tile", "w", "h", "data").mapInArrow(run, "image_id long, comp int, tile long, w int, h int, data array<int>")
+
+
+def _synthesis(kernel: str, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One level of a line without rounding; the line is long enough for its ends not to matter."""
+    out = np.zeros(2 * len(low))
+    out[::2], out[1::2] = low, high
+    steps = ((0, -0.25), (1, 0.5)) if kernel == "5/3" else ((0, -DELTA), (1, -GAMMA), (0, -BETA), (1, -ALPHA))
+    if kernel == "9/7":
+        out[::2] *= KAPPA
+        out[1::2] /= KAPPA
+    for first, k in steps:
+        around = np.roll(out, 1) + np.roll(out, -1)
+        out[first::2] += k * around[first::2]
+    return out
+
+
+def basis_norm(kernel: str, band: str, level: int) -> float:
+    """Length of a synthesis basis image: by how much an error of one in a coefficient counts in the samples. level 0: LL before any
+    transform, other bands after one."""
+
+    def along(part: str, depth: int) -> float:
+        if not depth:
+            return 1.0
+        line, zero = np.zeros(64), np.zeros(64)
+        line[32] = 1
+        out = _synthesis(kernel, line, zero) if part == "L" else _synthesis(kernel, zero, line)
+        for _ in range(depth - 1):
+            out = _synthesis(kernel, out, np.zeros(len(out)))
+        return float(np.linalg.norm(out))
+
+    depth = level + (band != "LL")
+    return along(band[0], depth) * along(band[1], depth)

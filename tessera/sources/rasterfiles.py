@@ -1,8 +1,9 @@
-"""PNM, PGX and raw rasters: bytes to samples and back, and a writer of files as a data source."""
+"""PNM, PAM, PGX, BMP and raw rasters: bytes to samples and back, and a writer of files as a data source."""
 
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,48 @@ def decode_pnm(data: bytes) -> tuple[np.ndarray, int]:
     return np.frombuffer(data, kind, n * w * h, m.end()).reshape(h, w, n).transpose(2, 0, 1).astype(np.int64), top.bit_length()
 
 
+def encode_pam(planes: np.ndarray, prec: int) -> bytes:
+    n, h, w = planes.shape
+    kind = {1: "GRAYSCALE", 2: "GRAYSCALE_ALPHA", 3: "RGB", 4: "RGB_ALPHA"}.get(n, "SAMPLES")
+    head = f"P7\nWIDTH {w}\nHEIGHT {h}\nDEPTH {n}\nMAXVAL {(1 << prec) - 1}\nTUPLTYPE {kind}\nENDHDR\n"
+    return head.encode() + np.ascontiguousarray(planes.transpose(1, 2, 0)).astype(np.uint8 if prec <= 8 else np.dtype(">u2")).tobytes()
+
+
+def decode_pam(data: bytes) -> tuple[np.ndarray, int]:
+    head, _, body = data.partition(b"ENDHDR\n")
+    found = dict(x.split(None, 1) for x in head.decode("latin-1").splitlines()[1:] if x.strip() and not x.startswith("#"))
+    n, h, w, top = (int(found[k]) for k in ("DEPTH", "HEIGHT", "WIDTH", "MAXVAL"))
+    kind = np.uint8 if top < 256 else np.dtype(">u2")
+    return np.frombuffer(body, kind, n * h * w).reshape(h, w, n).transpose(2, 0, 1).astype(np.int64), top.bit_length()
+
+
+def encode_bmp(planes: np.ndarray) -> bytes:
+    """Uncompressed, bottom line first, lines of a multiple of four bytes: 8 bits with a grey palette, or 24 bits."""
+    n, h, w = planes.shape
+    if n not in (1, 3):
+        raise ValueError("BMP holds one or three components here")
+    lines = np.zeros((h, -(-w * n // 4) * 4), np.uint8)
+    lines[:, : w * n] = planes[::-1, ::-1].transpose(1, 2, 0).reshape(h, w * n) if n == 3 else planes[0, ::-1]
+    colours = b"".join(bytes((i, i, i, 0)) for i in range(256)) if n == 1 else b""
+    start = 54 + len(colours)
+    return struct.pack("<2sIHHI", b"BM", start + lines.size, 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8 * n, 0, lines.size, 2835, 2835, len(colours) // 4, 0) + colours + lines.tobytes()
+
+
+def decode_bmp(data: bytes) -> tuple[np.ndarray, int]:
+    """Uncompressed files of 8 (through their palette), 24 or 32 bits, in either order of lines."""
+    start, size, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
+    if packed or bits not in (8, 24, 32):
+        raise ValueError(f"no uncompressed BMP of 8, 24 or 32 bits: {bits} bits, compression {packed}")
+    step = -(-w * bits // 32) * 4
+    lines = np.frombuffer(data, np.uint8, step * abs(h), start).reshape(abs(h), step)[:: -1 if h > 0 else 1]
+    if bits > 8:
+        return lines[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[..., [2, 1, 0, 3][: bits // 8]].transpose(2, 0, 1).astype(np.int64), 8
+    entries = struct.unpack_from("<I", data, 46)[0] or 256
+    colours = np.frombuffer(data, np.uint8, 4 * entries, 14 + size).reshape(-1, 4)[:, 2::-1].astype(np.int64)
+    out = colours[lines[:, :w]].transpose(2, 0, 1)
+    return (out[:1] if (colours == colours[:, :1]).all() else out), 8
+
+
 def encode_pgx(plane: np.ndarray, prec: int, signed: bool) -> bytes:
     h, w = plane.shape
     kind = {1: "i1" if signed else "u1", 2: ">i2" if signed else ">u2"}.get((prec + 7) // 8, ">i4")
@@ -69,13 +112,14 @@ def unpack_bits(data: bytes, prec: int, n: int) -> np.ndarray:
 
 
 def read_samples(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """path, comp, y, x, v of PNM and PGX files; one file is one row, and its lines leave as they are decoded."""
+    """path, comp, y, x, v of PNM, PAM, BMP and PGX files; one file is one row, and its lines leave as they are decoded."""
     ship(files.sparkSession)
 
     def run(batches):
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                planes = decode_pnm(data)[0] if data[:1] == b"P" and data[1:2] in b"56" else decode_pgx(data)[0][None]
+                kind = bytes(data[:2])
+                planes = decode_pnm(data)[0] if kind in (b"P5", b"P6") else decode_pam(data)[0] if kind == b"P7" else decode_bmp(data)[0] if kind == b"BM" else decode_pgx(data)[0][None]
                 n, h, w = planes.shape
                 step = max(1, 1_000_000 // max(1, w))
                 for c in range(n):
@@ -87,8 +131,8 @@ def read_samples(files: DataFrame, key: str = "path", content: str = "content")
     return files.select(F.col(key).cast("string"), F.col(content)).mapInArrow(run, "path string, comp int, y long, x long, v long")
 
 
-def to_files(samples: DataFrame, prec: int, key: str = "image_id") -> DataFrame:
-    """name, content: one PNM for each image of one or three components. An image is one task's work, as is a file."""
+def to_files(samples: DataFrame, prec: int, key: str = "image_id", kind: str = "pnm") -> DataFrame:
+    """name, content: one file (pnm, pam or bmp) for each image of one or three components. An image is one task's work, as is a file."""
     ship(samples.sparkSession)
 
     def build(df):
@@ -97,7 +141,9 @@ def to_files(samples: DataFrame, prec: int, key: str = "image_id") -> DataFrame:
         n, h, w = int(df.comp.max()) + 1, int(df.y.max()) + 1, int(df.x.max()) + 1
         planes = np.zeros((n, h, w), np.int64)
         planes[df.comp, df.y, df.x] = df.v
-        return pd.DataFrame({"name": [f"{df[key].iloc[0]}.{'pgm' if n == 1 else 'ppm'}"], "content": [encode_pnm(planes, prec)]})
+        data = {"pnm": encode_pnm, "pam": encode_pam}[kind](planes, prec) if kind != "bmp" else encode_bmp(planes)
+        name = ("pgm" if n == 1 else "ppm") if kind == "pnm" else kind
+        return pd.DataFrame({"name": [f"{df[key].iloc[0]}.{name}"], "content": [data]})
 
     return samples.select(key, "comp", "y", "x", "v").groupBy(key).applyInPandas(build, "name string, content binary")
 
