@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import io
+import re
 import tempfile
+import threading
 import uuid
-import zipfile
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.functions.workers import ship
+
 #: Bytes of text that a Python step looks at in one go; longer texts get a slice of their own.
 SLICE_BYTES = 1 << 20
 #: Texts of a slice at most.
@@ -21,45 +22,30 @@ SLICE_ROWS = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one is set only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one is set if all runs in one local process, and an error raised otherwise."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, which need not have it installed. Once for each Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tessera_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(p.relative_to(top.parent)))
-    path = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera_workers.zip"
-    path.write_bytes(held.getvalue())
-    sc.addPyFile(str(path))
-    sc._tessera_shipped = True
-
-
-#: Folders made since the last call of ``forget``.
-_made: list[str] = []
+#: Folders that this thread has made since its last call of ``forget``.
+_here = threading.local()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    _made.append(path)
+    _here.made = [*getattr(_here, "made", []), path]
     return path
 
 
 def forget() -> list[str]:
     """The intermediate folders made since the last call, for ``discard`` once nothing reads them any more."""
-    out = list(_made)
-    _made.clear()
+    out, _here.made = getattr(_here, "made", []), []
     return out
 
 
@@ -226,8 +212,19 @@ def text_of(df: DataFrame, key: str = "doc_id", text: str = "text", *more: str,
     return df.select(F.col(key).alias("key"), *(F.col(c) for c in more), (F.lower(F.col(text).cast("string")) if lower else F.col(text).cast("string")).cast("binary").alias("body"))
 
 
-def binary_rows(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+def keep_rows(docs: DataFrame, wanted: Callable[["Words"], np.ndarray], text: str = "text", lower: bool = False) -> DataFrame:
+    """The rows of ``docs``, as they are, for whose texts ``wanted`` gives true; rows without id and repeated rows are judged like others."""
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def verdict(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for body in bodies:
+            masks = [wanted(Words(buf, offsets)) for _, _, buf, offsets in slices(body)]
+            yield pa.array(np.concatenate(masks) if masks else np.zeros(0, bool))
+
+    body = F.col(text).cast("string")
+    # Only the text goes to Python, and only the verdict comes back.
+    return docs.where(verdict((F.lower(body) if lower else body).cast("binary")))
 
 
 def ragged_bytes(values: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.common import Words, combine, fold, load, mix, slices, text_of
+from tessera.llm.common import Words, combine, fold, keep_rows, load, mix, slices, text_of
 
 MAX_TRAIN = 8192
 DIMS = 32
@@ -185,10 +185,10 @@ def context_vectors(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, n_folds: int, out_fold: int, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, y, part and body of at most ``limit`` labelled documents outside the held-out fold: those with the least id hash."""
+    """key, y, part and body of at most ``limit`` labelled documents outside the held-out fold: those with the least id hash; of several rows with one id, the largest text."""
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(key, n_folds) != out_fold)).groupBy(F.col(key).alias("lab_key")).agg(F.max(label).cast("int").alias("y"))
     chosen = marks.withColumn("rank", F.xxhash64("lab_key")).orderBy("rank", "lab_key").limit(limit)
-    rows = text_of(docs, key, text).join(F.broadcast(chosen), F.col("key") == F.col("lab_key"))
+    rows = text_of(docs, key, text).join(F.broadcast(chosen), F.col("key") == F.col("lab_key")).groupBy("key", "y").agg(F.max("body").alias("body"))
     return rows.select("key", "y", F.pmod(F.xxhash64(F.col("key") + 1), F.lit(4)).cast("int").alias("part"), "body")
 
 
@@ -248,6 +248,11 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7, key: str = "
     return scored.select(F.col("key").alias(key), F.coalesce(fold("key", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold."""
+    return keep_rows(docs, lambda words: model.score_texts(words) >= threshold, text)
+
+
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     return classify(docs, fit(docs, labels))

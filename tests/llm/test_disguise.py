@@ -43,4 +43,4 @@ def test_more_entries_than_512(spark, make, words):
 
     docs = [(i, " ".join(f"{w} {name((i // 2 * 30 + j) % 600)}" if i % 2 else w for j, w in enumerate(words(30, 5000 + i).split()))) for i in range(2000)]
     labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in docs], "doc_id long, quality int, toxic int")
-    assert {name(k) for k in range(600)} <= {w for _, _, w in toxicity.learn(make(docs), labels)}
+    assert {name(k) for k in range(600)} <= {e.word for e in toxicity.learn(make(docs), labels)[0]}

@@ -79,7 +79,7 @@ def test_toxicity(spark, make, words, insults, odd):
 def test_copies_teach_nothing(spark, make, words):
     copies = [(i, words(40, 1)) for i in range(80)] + [(i, words(40, i)) for i in range(80, 300)]
     labels = spark.createDataFrame([(i, 1, int(i < 80)) for i, _ in copies], "doc_id long, quality int, toxic int")
-    assert toxicity.learn(make(copies), labels) == []
+    assert not [e for e in toxicity.learn(make(copies), labels)[0] if e.sure >= toxicity.STRONG]
 
 
 def test_toxicity_without_rows(spark, make):
