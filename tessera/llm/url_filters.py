@@ -100,11 +100,11 @@ def _ends(found: DataFrame, from_url: Column, to_url: Column) -> DataFrame:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """u, v: the nodes of each page and of the canonical or refresh target that it names, with the host and path of both."""
+    """u, v: the nodes of each page and of every canonical or refresh target that it names, with the host and path of both."""
     page, body = F.col(url), F.col(html)
-    canonical = F.regexp_extract(body, r"(?is)<link\s(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(body, r"(?is)<meta\s(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = pages.where(body.isNotNull() & page.isNotNull()).select(page.alias("url"), F.explode(F.array(canonical, refresh)).alias("href")).where(F.col("href") != "")
+    canonical = F.regexp_extract_all(body, F.lit(r"(?is)<link\s(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))
+    refresh = F.regexp_extract_all(body, F.lit(r"(?is)<meta\s(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))
+    found = pages.where(body.isNotNull() & page.isNotNull()).select(page.alias("url"), F.explode(F.concat(canonical, refresh)).alias("href")).where(F.col("href") != "").withColumn("href", F.replace("href", F.lit("&amp;"), F.lit("&")))
     return _ends(found, F.col("url"), _target(F.col("href"), F.col("url")))
 
 

@@ -29,3 +29,11 @@ def test_resolved_as_by_the_standard(spark):
     got = df.select("url", "href", url_filters.node_of(url_filters._target(F.col("href"), F.col("url"))).alias("n"))
     ideal = spark.createDataFrame([(p, h, urljoin(p, h)) for p in pages for h in hrefs], "url string, href string, to string").select("url", "href", url_filters.node_of(F.col("to")).alias("n"))
     assert {(r.url, r.href): r.n for r in got.collect()} == {(r.url, r.href): r.n for r in ideal.collect()}
+
+
+def test_every_link(spark):
+    """Several links of a kind, and & written as an entity."""
+    html = "<link rel=canonical href='http://a.test/1'><meta http-equiv=refresh content='0; url=http://x.net/'><link rel=canonical href='http://b.test/?a=1&amp;b=2'>"
+    pages = spark.createDataFrame([(1, "http://c.test/", html), (2, "http://a.test/1", None), (3, "http://b.test/?a=1&b=2", None), (4, "http://d.test/", "")], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.component) for r in url_filters.judge(pages).collect()}
+    assert got[4] == ("allow", None) and {got[i] for i in (1, 2, 3)} == {("block", got[1][1])} and got[1][1] is not None
