@@ -78,6 +78,11 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def line_of(url: Column, page: Column) -> Column:
+    """The key that records are sorted by: the URL's, then the page's number."""
+    return F.concat(key_of(url), F.lit(" "), F.coalesce(F.lpad(page.cast("long").cast("string"), 19, "0"), F.lit("")))
+
+
 def captures(pages: DataFrame, min_revisit: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page, line (the sortable key with the page's number), url, payload, digest and refers_to, which is null for responses."""
     body = F.coalesce(F.col(html).cast("string").cast("binary"), F.lit(b""))
@@ -88,8 +93,7 @@ def captures(pages: DataFrame, min_revisit: int = 0, key: str = "page_id", url:
     held = materialise(again, "warc-again")
     joined = base.join(F.broadcast(held) if held.count() <= 200_000 else held, "sha", "left")
     refers = F.when((F.col("keeper") != F.col("page")) & (F.octet_length("payload") >= min_revisit), F.col("keeper"))
-    line = F.concat(key_of(F.col("url")), F.lit(" "), F.coalesce(F.lpad(F.col("page").cast("string"), 19, "0"), F.lit("")))
-    return joined.select("page", F.coalesce(line, F.lit(" ")).alias("line"), "url", "payload", refers.alias("refers_to"))
+    return joined.select("page", line_of(F.col("url"), F.col("page")).alias("line"), "url", "payload", refers.alias("refers_to"))
 
 
 def write(caps: DataFrame, folder: str | None = None, archives: int | None = None) -> DataFrame:
@@ -142,8 +146,72 @@ def write(caps: DataFrame, folder: str | None = None, archives: int | None = Non
     return blocks.select("first", "last", "n", F.concat(F.lit(folder + "/"), "archive").alias("archive"), "index_offset", "index_length")
 
 
+def find(directory: DataFrame, lines: DataFrame) -> DataFrame:
+    """Every record whose sortable key is among ``lines`` (line), once for each such record.
+
+    The driver holds one key for each archive, of ``ARCHIVE_BYTES`` or so. Requests go to their archive's task in the order of their keys, behind that
+    archive's part of the directory: a binary search there finds the block, one in the block's lines finds the captures, and one range read fetches each run
+    of records that lie together.
+    """
+    spark = directory.sparkSession
+    ship(spark)
+    tops = sorted((r["first"], r["last"], r["archive"]) for r in directory.groupBy("archive").agg(F.min("first").alias("first"), F.max("last").alias("last")).collect())
+    least, names = [t[0] for t in tops], [x.split(" ")[0] for x in CAPTURE.split(", ")]
+
+    def place(batches):
+        for batch in batches:
+            rows = []
+            for line in batch.column("line").to_pylist():
+                at = bisect.bisect_right(least, line) - 1
+                while at >= 0 and tops[at][1] >= line:  # more than one archive may hold a key that many records have
+                    rows.append((tops[at][2], line))
+                    at -= 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["archive", "line"])
+
+    def run(batches):
+        archive, blocks, wanted = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["archive"] != archive:
+                    yield from fetch(archive, blocks, wanted)
+                    archive, blocks, wanted = row["archive"], [], []
+                if row["n"]:
+                    blocks.append((row["line"], row["last"], row["index_offset"], row["index_length"]))
+                else:
+                    wanted.append(row["line"])
+                    if len(wanted) >= 16 * BLOCK_LINES:
+                        yield from fetch(archive, blocks, wanted)
+                        wanted = []
+        yield from fetch(archive, blocks, wanted)
+
+    def fetch(archive: str | None, blocks: list[tuple], wanted: list[str]):
+        """wanted: sorted distinct keys."""
+        if not wanted or not blocks:
+            return
+        store, path = open_folder(archive)
+        first, last = [b[0] for b in blocks], [b[1] for b in blocks]
+        with store.open_input_file(path + ".idx") as index:
+            for at in range(bisect.bisect_left(last, wanted[0]), bisect.bisect_right(first, wanted[-1])):
+                mine = wanted[bisect.bisect_left(wanted, first[at]) : bisect.bisect_right(wanted, last[at])]
+                if not mine:
+                    continue
+                lines = [x.split("\t") for x in gzip.decompress(index.read_at(blocks[at][3], blocks[at][2])).decode().splitlines()]
+                keys = [x[0] for x in lines]
+                hits = [lines[i] for key in mine for i in range(bisect.bisect_left(keys, key), bisect.bisect_right(keys, key))]
+                if hits:
+                    yield from _fetch(store, path, hits, archive, names)
+
+    asked = lines.select("line").distinct().mapInArrow(place, "archive string, line string")
+    none = (F.lit(None).cast(t).alias(c) for c, t in (("last", "string"), ("n", "int"), ("index_offset", "long"), ("index_length", "long")))
+    blocks = directory.select("archive", F.col("first").alias("line"), "last", "n", "index_offset", "index_length")
+    both = blocks.unionByName(asked.select("archive", "line", *none))
+    n = max(len(tops), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return both.repartition(n, "archive").sortWithinPartitions("archive", F.col("n").isNull(), "line").mapInArrow(run, CAPTURE)
+
+
 def read(directory: DataFrame) -> DataFrame:
-    """Every record, through the index: each block's lines, and one range read for each run of records that lie together."""
+    """Every record, block by block of the index, with one range read for each run of records that lie together."""
     ship(directory.sparkSession)
     names = [x.split(" ")[0] for x in CAPTURE.split(", ")]
 
@@ -185,29 +253,23 @@ def _batch(rows: list[list], names: list[str]) -> pa.RecordBatch:
 
 
 class CaptureIndex:
-    """Look-ups by URL. The directory, one entry for each ``BLOCK_LINES`` captures, is searched where it is held."""
+    """Look-ups by URL: the directory stays a table, of which a look-up takes the blocks that may hold its key."""
 
     def __init__(self, directory: DataFrame):
-        rows = directory.orderBy("first").collect()
-        self.blocks = [r.asDict() for r in rows]
-        self.first = [r["first"] for r in self.blocks]
+        self.directory = directory
 
     def lookup(self, key: str) -> list[dict]:
         """All captures of a key (as ``key_of`` makes it), in the order of their page numbers."""
         low, high = key + " ", key + " ~"
-        at = max(0, bisect.bisect_right(self.first, low) - 1)
         out = []
-        while at < len(self.blocks) and self.first[at] <= high:
-            block = self.blocks[at]
-            if block["last"] >= low:
-                store, path = open_folder(block["archive"])
-                with store.open_input_file(path + ".idx") as f:
-                    lines = [x.split("\t") for x in gzip.decompress(f.read_at(block["index_length"], block["index_offset"])).decode().splitlines()]
-                keys = [x[0] for x in lines]
-                with store.open_input_file(path) as f:
-                    for line in lines[bisect.bisect_left(keys, low) : bisect.bisect_right(keys, high)]:
-                        out.append(parse(gzip.decompress(f.read_at(int(line[2]), int(line[1])))))
-            at += 1
+        for block in self.directory.where((F.col("first") <= high) & (F.col("last") >= low)).orderBy("first", "archive", "index_offset").collect():
+            store, path = open_folder(block["archive"])
+            with store.open_input_file(path + ".idx") as f:
+                lines = [x.split("\t") for x in gzip.decompress(f.read_at(block["index_length"], block["index_offset"])).decode().splitlines()]
+            keys = [x[0] for x in lines]
+            with store.open_input_file(path) as f:
+                for line in lines[bisect.bisect_left(keys, low) : bisect.bisect_right(keys, high)]:
+                    out.append(parse(gzip.decompress(f.read_at(int(line[2]), int(line[1])))))
         return out
 
 
@@ -219,8 +281,9 @@ def archive(pages: DataFrame, min_revisit: int = 0, folder: str | None = None) -
 
 
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records as read back; a stored payload is measured anew, and its digest was checked."""
-    back = read(archive(load(spark, sf_dir, "pages")))
+    """Every page's record, looked up through the index; a stored payload is measured anew, and its digest was checked."""
+    pages = load(spark, sf_dir, "pages")
+    back = find(archive(pages), pages.select(line_of(F.col("url"), F.col("page_id")).alias("line")))
     own = F.col("record_type") == "response"
     size = F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
     return back.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
