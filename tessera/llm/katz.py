@@ -187,9 +187,16 @@ def count_words(requests: DataFrame) -> DataFrame:
 
 
 def statistics(table: DataFrame) -> np.ndarray:
-    """Sums of the slices' statistics: one short row for each slice."""
-    rows = table.where("kind = 'stat'").select("a").collect()
-    return sum((np.frombuffer(r["a"], np.int64) for r in rows), np.zeros(K + 4, np.int64))
+    """Sums of the slices' statistics; one row of sums comes to the driver."""
+    names = [f"s{i}" for i in range(K + 4)]
+
+    def run(batches):
+        for batch in batches:
+            sums = sum((np.frombuffer(a, np.int64) for a in batch.column("a").to_pylist()), np.zeros(K + 4, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in sums], names=names)
+
+    parts = table.where("kind = 'stat'").select("a").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return np.array([x or 0 for x in parts.agg(*(F.sum(n).alias(n) for n in names)).first()], np.int64)
 
 
 def publish(answers: DataFrame, name: str) -> str:
@@ -350,7 +357,7 @@ def evaluate(chunks: DataFrame, words: str, pairs: str, weights: str, unigrams:
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("b")).first()["b"]
-    n = int(min(1 << 15, max(8, size // SLICE_OF)))
+    n = int(max(8, size // SLICE_OF))
     tokens = materialise(read_tokens(docs, n, key, text), "lm-tokens")
     chunks, asked = tokens.where("kind = 'chunk'"), tokens.where("kind = 'word'")
     counted = materialise(count_words(asked), "lm-words")
