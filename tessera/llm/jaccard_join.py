@@ -373,5 +373,35 @@ def _result(base: DataFrame, classes: DataFrame, found: DataFrame | None, key: s
     return out.select(F.col("key").alias(key), "n_shingles", F.coalesce(F.when(some, F.col("rep")), "key").alias("class_id"), F.coalesce(F.when(some, F.col("least")), "key").alias("component_id"))
 
 
+def keep(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group that links reach: that with the least id, rows without id last; of equal rows any one. Rows without words all stay.
+
+    Rows go by a 64-bit hash of id and text, so rows without id, or with one id and different texts, are judged like others.
+    """
+    name, columns = "row_name", docs.columns
+    while any(c.startswith(name) for c in columns):
+        name += "_"
+    named = docs.withColumn(name, F.xxhash64(key, text))
+    groups = components(named, name, text, n, threshold).where("n_shingles > 0")
+    several = groups.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").select("component_id")
+    inside = groups.select(F.col(name).alias("row"), "component_id").join(several, "component_id")
+    members = materialise(inside.groupBy("row", "component_id").agg(F.count("*").alias("copies")), "group-rows")
+    ids = named.select(F.col(name).alias("row"), F.col(key).alias("id")).join(members.select("row"), "row", "left_semi").groupBy("row").agg(F.min("id").alias("id"))
+    first = members.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("best"))
+    kept = materialise(first.select(F.col("best.row").alias("row")).join(members, "row").select("row", "copies"), "group-heads")
+    gone = materialise(members.select("row").join(kept.select("row"), "row", "left_anti"), "group-rest")
+    out = _at(named, name, gone, "left_anti")
+    again = materialise(kept.where("copies > 1").select("row"), "group-copies")
+    if not again.isEmpty():
+        out = _at(out, name, again, "left_anti").unionByName(_at(named, name, again, "left_semi").dropDuplicates([name]))
+    return out.select(columns)
+
+
+def _at(docs: DataFrame, name: str, rows: DataFrame, how: str) -> DataFrame:
+    """The docs whose name is (left_semi) or isn't (left_anti) among rows."""
+    rows = rows.select(F.col("row").alias(f"{name}_wanted"))
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, F.col(name) == F.col(f"{name}_wanted"), how)
+
+
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")

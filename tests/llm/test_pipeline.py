@@ -31,3 +31,29 @@ def test_stages(spark, folder):
     assert 1002 in kept[2] and 1002 not in kept[3] and kept[4] == kept[3]
     assert {i for i in range(400) if i % 5 and i % 7} <= kept[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == kept[4]
+
+
+def test_rows_without_id_and_repeated_rows(spark, folder, make, words):
+    """Each stage judges rows, not ids; further columns go along."""
+    clean, bad, loud = words(70, 5000), words(70, 5001) + " blockhead nitwit", " ".join(w.upper() + "!!" for w in words(70, 5002).split())
+    leak = words(30, 777)
+    more = [(None, clean), (None, clean), (3000, words(70, 5003)), (3000, words(70, 5003)), (3000, words(70, 5004)), (None, bad), (None, loud), (None, words(70, 1)), (None, leak + " " + words(50, 5005)), (None, None), (None, None), (3001, bad), (3001, clean + " x")]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    docs = make([(r.doc_id, r.text) for r in docs] + more)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, folder), "stage")
+        assert docs.columns == make([]).columns
+    got = [(r.doc_id, r.text) for r in docs.where("doc_id is null or doc_id >= 3000").collect()]
+    assert sorted(got, key=str) == sorted([x for x in [(3000, words(70, 5003)), (3000, words(70, 5004)), (3001, clean + " x"), *[(None, None)] * empty(docs)]], key=str)
+
+
+def empty(docs):
+    """Whether the classifier keeps empty documents; near copies keep all of them."""
+    return docs.where("text is null and doc_id is null").count()
+
+
+def test_empty_table(spark, folder, make):
+    docs = make([])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialise(stage(spark, docs, folder), "stage")
+    assert docs.count() == 0
