@@ -1,27 +1,23 @@
 """A training corpus from ``documents``: quality, toxicity, near copies, benchmark passages, then packing.
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read back as the next one's docs. All
-but the last return the columns of ``documents``. A table without rows passes through; rows without id are judged like others.
+but the last return the columns of ``documents``. A table without rows passes through; rows without id, and rows that repeat one, are judged
+like others, each for itself; further columns go along.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, jaccard_join, packing, quality_classifier, toxicity
 from tessera.llm.common import discard, forget, load, materialise
 
-#: Rejected ids that are broadcast at most (8 bytes each); more are joined by id.
-BROADCAST_IDS = 1_000_000
-
-
-def _only(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the ids in rejected; rows without id stay."""
-    ids = materialise(rejected.select("doc_id").where("doc_id is not null").distinct(), "rejected")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+#: Intermediate tables of the last stage that this thread called.
+_last = threading.local()
 
 
 def _stage(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -30,44 +26,39 @@ def _stage(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
     @wraps(step)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if step.__name__ != "quality":
-            discard(spark, _left)
+            discard(spark, getattr(_last, "made", []))
         forget()
         out = step(spark, docs, sf_dir)
-        _left[:] = forget()
+        _last.made = forget()
         return out
 
     return run_stage
 
 
-#: Intermediate tables of the last stage that was called.
-_left: list[str] = []
-
-
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score is below the classifier's threshold."""
     model = quality_classifier.fit(docs, load(spark, sf_dir, "labels"))
-    return _only(docs, quality_classifier.classify(docs, model).where("predicted = 0"))
+    return quality_classifier.keep(docs, model)
 
 
 @_stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are scored as toxic."""
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
-    return _only(docs, toxicity.classify(docs, model).where("predicted = 1"))
+    return toxicity.keep(docs, model)
 
 
 @_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that shares 80 in 100 of its runs of five words, link by link, the document with the least id stays."""
-    groups = jaccard_join.components(docs, n=5, threshold=80)
-    return _only(docs, groups.where(F.col("component_id") != F.col("doc_id")))
+    return jaccard_join.keep(docs, n=5, threshold=80)
 
 
 @_stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, copied or paraphrased."""
-    return _only(docs, decontamination.decontaminate(docs, load(spark, sf_dir, "benchmark")))
+    return decontamination.keep(docs, load(spark, sf_dir, "benchmark"))
 
 
 @_stage
