@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tessera.functions.scan import before
+
 #: Sort keys of each progression.
 ORDERS = {
     "LRCP": ["layer", "res", "comp", "precinct"],
@@ -17,24 +19,26 @@ SOP_BYTES, EPH_BYTES = 6, 2
 
 
 def progress(packets: DataFrame, order: str) -> DataFrame:
-    """Numbers each tile's packets in a progression (ties by precinct, then key)."""
+    """Numbers each tile's packets in a progression (ties by precinct, then key).
+
+    In two levels: packets with the same two leading keys are ranked among themselves, behind a running count of such groups, so a tile isn't one task's work."""
     keys = ORDERS[order] + [k for k in ("precinct", "k") if k not in ORDERS[order]]
-    return packets.withColumn("seq", F.row_number().over(W.partitionBy("tile").orderBy(*keys)).cast("long") - 1)
+    lead = ["tile", *keys[:2]]
+    counted = packets.groupBy(*lead).agg(F.count("*").alias("_n"))
+    base = counted.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy("tile").orderBy(*keys[:2]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = packets.withColumn("_rank", F.row_number().over(W.partitionBy(*lead).orderBy(*keys[2:])) - 1)
+    return ranked.join(base, lead).withColumn("seq", (F.col("_base") + F.col("_rank")).cast("long")).drop("_base", "_rank").select(*packets.columns, "seq")
 
 
 def change_order(packets: DataFrame, changes: list[tuple[int, int, int, int, int, int, str]]) -> DataFrame:
-    """Order changes (first res, first comp, end layer, end res, end comp, number, order): a packet goes with the first change that holds it."""
-    spark = packets.sparkSession
-    table = spark.createDataFrame([(*c[:6], i) for i, c in enumerate(changes)], "r0 long, c0 long, l1 long, r1 long, c1 long, number long, poc long")
-    inside = F.expr("res >= r0 and res < r1 and comp >= c0 and comp < c1 and layer < l1")
-    first = F.min("poc")
-    keys = ["tile", "k", "comp", "res", "layer", "precinct", "py", "px", "length"]
-    held = packets.join(F.broadcast(table), inside).groupBy(*keys).agg(first.alias("poc"))  # a list of at most 32 changes
-    out = None
-    for i, c in enumerate(changes):
-        part = held.where(F.col("poc") == i).withColumn("rank", F.row_number().over(W.partitionBy("tile").orderBy(*ORDERS[c[6]], "precinct", "k")))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("seq", F.row_number().over(W.partitionBy("tile").orderBy("poc", "rank")).cast("long") - 1).drop("rank")
+    """Order changes (first res, first comp, end layer, end res, end comp, number, order): a packet goes with the first change that holds it.
+
+    Which change that is, and the packet's keys in that change's order, are expressions; so one sort of each tile does."""
+    holds = [(F.col("res") >= r0) & (F.col("comp") >= c0) & (F.col("layer") < l1) & (F.col("res") < r1) & (F.col("comp") < c1) for r0, c0, l1, r1, c1, _, _ in changes]
+    keyed = packets.withColumn("poc", F.coalesce(*(F.when(h, F.lit(i).cast("long")) for i, h in enumerate(holds)))).where("poc is not null")
+    keys = F.coalesce(*(F.when(F.col("poc") == i, F.array(*(F.col(k).cast("long") for k in [*ORDERS[c[6]], "precinct", "k"]))) for i, c in enumerate(changes)))
+    # Orders have four keys or five; the shorter ones differ from the others in poc already.
+    return keyed.withColumn("seq", F.row_number().over(W.partitionBy("tile").orderBy("poc", keys)).cast("long") - 1)
 
 
 def total_packets(packets: DataFrame) -> DataFrame:
@@ -47,13 +51,9 @@ def offsets(parts: DataFrame, key: str = "tile") -> DataFrame:
     return parts.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long"))
 
 
-def offsets_in_stream(parts: DataFrame, block: int = 4096) -> DataFrame:
-    """Offsets in one stream of all parts, in two levels: blocks of ``block`` numbers among themselves, then parts within. No task sees all parts."""
-    parts = parts.withColumn("block", F.floor(F.col("seq") / block))
-    before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    base = parts.groupBy("block").agg(F.sum("length").alias("s")).select("block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    within = W.partitionBy("block").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    return parts.join(base, "block").withColumn("offset", (F.coalesce(F.sum("length").over(within), F.lit(0)) + F.col("base")).cast("long")).drop("block", "base")
+def offsets_in_stream(parts: DataFrame) -> DataFrame:
+    """Offsets in one stream of all parts, in levels: no task sees all parts."""
+    return before(parts, "seq", "length", "offset")
 
 
 def pop_lengths(packets: DataFrame, n: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tessera.functions.scan import before, run_from
 from tessera.functions.workers import ship
 
 
@@ -115,7 +116,7 @@ def row_completion(done: DataFrame, columns: int) -> DataFrame:
 
 def band_order(rows: DataFrame) -> DataFrame:
     """When each finished row can be handed on: not before all rows above it."""
-    return rows.withColumn("emitted", F.max("at").over(W.orderBy("row").rowsBetween(W.unboundedPreceding, 0)))
+    return before(rows, "row", "at", "emitted", "max").withColumn("emitted", F.greatest("emitted", "at"))
 
 
 def swath_wait(swaths: DataFrame, done: DataFrame) -> DataFrame:
@@ -126,8 +127,8 @@ def swath_wait(swaths: DataFrame, done: DataFrame) -> DataFrame:
 
 def contiguous(done: DataFrame, key: str = "row") -> DataFrame:
     """The longest run from 0 of finished numbers."""
-    ranked = done.select(key).distinct().withColumn("n", F.row_number().over(W.orderBy(key)) - 1)
-    return ranked.where(F.col(key) == F.col("n"))
+    numbers = done.select(key).distinct()
+    return numbers.where((F.col(key) >= 0) & (F.col(key) < run_from(numbers, key, 0))).withColumn("n", F.col(key))
 
 
 def chunk_places(chunks: DataFrame) -> DataFrame:
