@@ -38,3 +38,10 @@ def canonical(samples: DataFrame) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one of two dumps has."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def tile_distortion(base: DataFrame, other: DataFrame) -> DataFrame:
+    """Squared error of each tile and component, over the samples that both have."""
+    b, o = base.select("tile", "comp", "y", "x", F.col("v").alias("a")), other.select("comp", "y", "x", F.col("v").alias("b"))
+    d = F.col("a") - F.col("b")
+    return b.join(o, ["comp", "y", "x"]).groupBy("tile", "comp").agg(F.sum(d * d).alias("distortion"), F.count("*").alias("n"))

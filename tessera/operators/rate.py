@@ -112,6 +112,11 @@ def make_layer(passes: DataFrame, threshold: int) -> DataFrame:
     return _included(passes, [threshold]).where("b0 is not null").select("cblk", F.col("b0.pass").alias("last"), F.col("b0.rate").alias("rate"))
 
 
+def whole_layer(passes: DataFrame) -> DataFrame:
+    """The layer that drops nothing: each block's last pass and all its bytes."""
+    return passes.groupBy("cblk").agg(F.max("pass").alias("last"), F.max("rate").alias("rate"))
+
+
 def allocate_layers(passes: DataFrame, thresholds: list[int]) -> DataFrame:
     """Bytes of each layer over all blocks, for falling thresholds in the log domain and slopes that fall within a block."""
     blocks = _included(passes, thresholds)

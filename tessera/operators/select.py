@@ -112,3 +112,11 @@ def bounding(rects: DataFrame) -> DataFrame:
     """The least rectangle around all that aren't empty, and the sum of their areas."""
     some = rects.where("x0 < x1 and y0 < y1")
     return some.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
+
+
+def single_tile(samples: DataFrame, tile: int, tw: int, th: int, columns: int, tiles: int) -> DataFrame:
+    """One tile's samples, by its rectangle; an error for a tile beyond the grid."""
+    if not 0 <= tile < tiles:
+        raise ValueError(f"tile {tile} is not among the {tiles} of the grid")
+    x, y = tile % columns * tw, tile // columns * th
+    return samples.where((F.col("x") >= x) & (F.col("x") < x + tw) & (F.col("y") >= y) & (F.col("y") < y + th))

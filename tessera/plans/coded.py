@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.operators import blocks as B, coding as K, packets as P, point, select as S, tiles as T, wavelet as Wv
 from tessera.plans import rasters as R
-from tessera.plans.containers import SEGMENTS, streams
+from tessera.plans.containers import SEGMENTS, files, streams
 from tessera.plans.queries import query
 from tessera.plans.rasters import sql
 from tessera.sources import markers as M, rasterfiles as RF
@@ -84,6 +84,26 @@ def pam_roundtrip(spark, d):
     return RF.read_samples(RF.to_files(R.rgb_img(spark, d), 8, kind="pam").withColumnRenamed("name", "path")).select("comp", "y", "x", "v")
 
 
+@query(sql("regions", ", r as (select region k from regions), f as (select k, i, i // (k + 1) chunk from r, range(0, 3) t(i)) select k::varchar path, i::bigint frame, (k * 5000 + chunk * 77 + coalesce((select sum(k * 1000 + j) from range(0, 3) u(j) where j >= chunk * (k + 1) and j < i), 0))::bigint \"offset\", (k * 1000 + i)::bigint as size from f where chunk < 2"))
+def frame_scan(spark, d):
+    """Where each frame of each movie lies."""
+    return M.frames(M.box_rows(files(spark, d)))
+
+
+@query(sql("regions", ", r as (select region::varchar path, * from regions) select path, l::integer line, case l when 0 then format('image x0={} y0={} x1={} y1={}', x0, y0, x1, y1) when 1 then format('tiles {}x{} of 16x16', (x1 + 15) // 16, (y1 + 15) // 16) when 2 then format('components 3 transform {}', region % 2) else format('layers {} resolutions 3', region + 1) end as text from r, range(0, 4) t(l)"))
+def header_dump(spark, d):
+    from tessera.sources import codestream as CS
+
+    return M.dump_lines(CS.images(streams(spark, d)))
+
+
+@query(sql("wide", _GRID.replace("select c comp,", "select '0-' || c || '.pgm' path,")))
+def split_components(spark, d):
+    """Each component as a file of its own, and back."""
+    img = R.rgb_img(spark, d).withColumn("image_id", F.concat_ws("-", "image_id", "comp")).withColumn("comp", F.lit(0))
+    return RF.read_samples(RF.to_files(img, 8).withColumnRenamed("name", "path")).select("path", "y", "x", "v")
+
+
 # ------------------------------------------------------------ colour
 
 
@@ -162,3 +182,26 @@ def basis_norms(spark, d):
     """Lengths of the synthesis basis, from the kernels themselves; the SQL has the published values, to one digit."""
     rows = [(k, b, i, round(Wv.basis_norm(k, b, i), 1)) for k, b in _NORMS for i in range(4)]
     return spark.createDataFrame(rows, "kernel string, band string, level long, norm double")
+
+
+@query(sql("wide rgb", "select comp, y, x, v from rgb where (y // 16) * 8 + x // 16 = 5"))
+def single_tile(spark, d):
+    img = R.rgb_img(spark, d)
+    return S.single_tile(img, 5, 16, 16, 8, 8 * 1_000).select("comp", "y", "x", "v")
+
+
+@query(sql("wide rgb", "select (y // 16) * 8 + x // 16 tile, comp, sum((v - v // 4 * 4) * (v - v // 4 * 4))::bigint distortion, count(*) n from rgb group by all"))
+def tile_distortion(spark, d):
+    """What dropping two bits costs each tile."""
+    from tessera.operators import compare as C
+
+    img = S.assign_tiles(R.rgb_img(spark, d), 16, 16, 8)
+    return C.tile_distortion(img, img.withColumn("v", F.expr("v div 4 * 4")))
+
+
+@query(sql("passes", "select cblk, count(*) as \"last\", sum(len)::bigint rate from passes group by cblk"))
+def lossless_layer(spark, d):
+    """One layer of all passes."""
+    from tessera.operators import rate
+
+    return rate.whole_layer(rate.cumulate(R.passes(spark, d)))

@@ -9,7 +9,7 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessera.functions.workers import ship
 from tessera.sources.codestream import boxes, scan
@@ -417,3 +417,29 @@ def extract(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([codestream_of(c or b"") for c in batch.column("content").to_pylist()], pa.binary())], names=["path", "content"])
 
     return files.select("path", "content").mapInArrow(run, "path string, content binary")
+
+
+def frames(fields: DataFrame) -> DataFrame:
+    """path, frame, offset and size of every frame of every movie, from the fields of its sample tables (``box_rows``): a chunk holds as many frames as the
+    last entry of stsc that begins at it or before says; frames lie one after another in their chunk. Frames beyond the chunks are left out."""
+    wide = lambda box, **names: fields.where(F.col("name") == box).groupBy("path", "item").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(n) for n, f in names.items()))
+    sizes = wide("stsz", size="size").where("size is not null").withColumnRenamed("item", "frame")
+    chunks = wide("stco", start="offset").where("start is not null").withColumnRenamed("item", "chunk")
+    runs = wide("stsc", first="first_chunk", held="samples").where("first is not null").drop("item")
+    # A movie's runs are few; each chunk takes the last that has begun.
+    counted = chunks.join(runs, "path").where("first <= chunk + 1").groupBy("path", "chunk", "start").agg(F.max_by("held", "first").alias("held"))
+    first = F.coalesce(F.sum("held").over(W.partitionBy("path").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.withColumn("from", first).where("held > 0").select("path", "chunk", "start", F.explode(F.expr("sequence(from, from + held - 1)")).alias("frame"))
+    within = W.partitionBy("path", "chunk").orderBy("frame").rowsBetween(W.unboundedPreceding, -1)
+    return placed.join(sizes, ["path", "frame"]).select("path", "frame", (F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))).cast("long").alias("offset"), "size")
+
+
+def dump_lines(images: DataFrame) -> DataFrame:
+    """path, line and text: a readable account of each image's header (``codestream.images``)."""
+    lines = [
+        F.format_string("image x0=%d y0=%d x1=%d y1=%d", "x0", "y0", "x1", "y1"),
+        F.format_string("tiles %dx%d of %dx%d", F.ceil(F.col("x1") / F.col("tw")), F.ceil(F.col("y1") / F.col("th")), "tw", "th"),
+        F.format_string("components %d transform %d", "numcomps", "mct"),
+        F.format_string("layers %d resolutions %d", "layers", "numres"),
+    ]
+    return images.select("path", F.posexplode(F.array(*lines)).alias("line", "text"))
