@@ -6,6 +6,7 @@ that never got whole are told as partial; without one, a told row keeps an empty
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -45,18 +46,57 @@ def completed_rows(done: DataFrame, columns: int, timeout_ms: int | None = None)
     return done.groupBy("row").applyInPandasWithState(step, OUT, "mask string, at long, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
-def in_order(write_band, first: int = 0):
+def in_order(write_band, first: int = 0, state: str | None = None):
     """For foreachBatch: hands finished rows to ``write_band(row, at)`` strictly from ``first`` up; rows that are early wait.
 
-    Rows of tiles are few (an image's height over a tile's), so a batch's numbers come to the driver."""
-    waiting: dict[int, int] = {}
-    following = [first]
+    Rows of tiles are few (an image's height over a tile's), so a batch's numbers come to the driver. With ``state``, a file in any store that Spark writes,
+    what waits is kept from batch to batch, so a restarted stream goes on where it stopped; a batch that is run again after it was kept is passed over."""
+    held: dict = {"batch": -1, "following": first, "waiting": {}, "read": state is None}
 
-    def take(batch: DataFrame, _: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
+        if not held["read"]:
+            kept = _load(batch.sparkSession, state)
+            held.update(kept and {"batch": kept["batch"], "following": kept["following"], "waiting": {int(k): v for k, v in kept["waiting"].items()}} or {}, read=True)
+        if state and number <= held["batch"]:
+            return
+        waiting = held["waiting"]
         for r in batch.select("row", "at").collect():
-            waiting[r["row"]] = r["at"]
-        while following[0] in waiting:
-            write_band(following[0], waiting.pop(following[0]))
-            following[0] += 1
+            if r["row"] >= held["following"]:
+                waiting[r["row"]] = r["at"]
+        while held["following"] in waiting:
+            write_band(held["following"], waiting.pop(held["following"]))
+            held["following"] += 1
+        held["batch"] = number
+        if state:
+            _store(batch.sparkSession, state, {k: held[k] for k in ("batch", "following", "waiting")})
 
     return take
+
+
+def _place(spark, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _load(spark, path: str) -> dict | None:
+    p, store = _place(spark, path)
+    for one in (p, p.suffix(".new")):  # a restart may fall between removing and renaming
+        if store.exists(one):
+            with_stream = store.open(one)
+            text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
+            with_stream.close()
+            try:
+                return json.loads(text)
+            except ValueError:
+                continue
+    return None
+
+
+def _store(spark, path: str, value: dict) -> None:
+    p, store = _place(spark, path)
+    new = p.suffix(".new")
+    out = store.create(new, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    store.delete(p, False)
+    store.rename(new, p)
