@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.workers import ship
 from tessera.operators.coding import BLOCK_CONTEXTS, FIRST_STATES, BitReader, BitWriter, Contexts, MqDecoder, MqEncoder, TagTree
@@ -145,34 +145,38 @@ def decode_block(data: bytes, w: int, h: int, band: str, planes: int, passes: in
     return signed.reshape(h + 2, w + 2)[1:-1, 1:-1]
 
 
-def encode_samples(samples: DataFrame, size: int = 64, band: str = "LL") -> DataFrame:
-    """image_id, comp, by, bx, w, h, planes, passes and data: one row for each block of the samples' grid. Absent samples are 0."""
+def encode_samples(samples: DataFrame, size: int = 64, band: str = "LL", keys: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
+    """keys, y0, x0, w, h, planes, passes and data: one row for each block of the samples' grid, cut to the samples there are; gaps are 0. A key named band is the block's band."""
     ship(samples.sparkSession)
+    names = list(keys)
 
     def build(df: pd.DataFrame) -> pd.DataFrame:
-        y, x = df.y.to_numpy() % size, df.x.to_numpy() % size
-        grid = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.int64)
-        grid[y, x] = df.v
-        data, planes, passes = encode_block(grid, band)
+        y0, x0 = int(df.y.min()), int(df.x.min())
+        grid = np.zeros((int(df.y.max()) - y0 + 1, int(df.x.max()) - x0 + 1), np.int64)
+        grid[df.y - y0, df.x - x0] = df.v
         one = df.iloc[0]
-        return pd.DataFrame({"image_id": [one.image_id], "comp": [one.comp], "by": [one.by], "bx": [one.bx], "w": [grid.shape[1]], "h": [grid.shape[0]], "planes": [planes], "passes": [passes], "data": [data]})
+        data, planes, passes = encode_block(grid, one.band if "band" in names else band)
+        return pd.DataFrame({**{k: [one[k]] for k in names}, "y0": [y0], "x0": [x0], "w": [grid.shape[1]], "h": [grid.shape[0]], "planes": [planes], "passes": [passes], "data": [data]})
 
-    placed = samples.selectExpr("image_id", "comp", f"cast(floor(y / {size}) as long) as by", f"cast(floor(x / {size}) as long) as bx", "y", "x", "v")
-    return placed.groupBy("image_id", "comp", "by", "bx").applyInPandas(build, "image_id long, comp int, by long, bx long, w int, h int, planes int, passes int, data binary")
+    placed = samples.select(*names, F.floor(F.col("y") / size).cast("long").alias("by"), F.floor(F.col("x") / size).cast("long").alias("bx"), "y", "x", "v")
+    kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in names)
+    return placed.groupBy(*names, "by", "bx").applyInPandas(build, f"{kinds}, y0 long, x0 long, w int, h int, planes int, passes int, data binary")
 
 
-def decode_samples(blocks: DataFrame, size: int = 64, band: str = "LL", drop: int = 0) -> DataFrame:
+def decode_samples(blocks: DataFrame, band: str = "LL", drop: int = 0, keys: tuple[str, ...] = ("image_id", "comp")) -> DataFrame:
     """Samples of the blocks; ``drop`` leaves out that many last passes of each."""
     ship(blocks.sparkSession)
+    names = list(keys)
+    kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in names)
 
     def run(parts):
         for df in parts:
-            for b in df.itertuples(index=False):
-                v = decode_block(b.data or b"", b.w, b.h, band, b.planes, max(0, b.passes - drop))
-                y, x = np.divmod(np.arange(v.size), b.w)
-                yield pd.DataFrame({"image_id": b.image_id, "comp": b.comp, "y": y + b.by * size, "x": x + b.bx * size, "v": v.reshape(-1)})
+            for b in df.to_dict("records"):
+                v = decode_block(b["data"] or b"", b["w"], b["h"], b["band"] if "band" in names else band, b["planes"], max(0, b["passes"] - drop))
+                y, x = np.divmod(np.arange(v.size), b["w"])
+                yield pd.DataFrame({**{k: b[k] for k in names}, "y": y + b["y0"], "x": x + b["x0"], "v": v.reshape(-1)})
 
-    return blocks.mapInPandas(run, "image_id long, comp int, y long, x long, v long")
+    return blocks.mapInPandas(run, f"{kinds}, y long, x long, v long")
 
 
 # ------------------------------------------------------------ packet headers

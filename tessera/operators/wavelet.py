@@ -139,7 +139,7 @@ def lift_lines(a: np.ndarray, steps: list[tuple[int, float, float, int]], origin
     return a
 
 
-FORWARD_53 = [(1, -1, 1, 1), (0, 1, 2, 2)]
+FORWARD_53, INVERSE_53 = [(1, -1, 1, 1), (0, 1, 2, 2)], [(0, -1, 1, 2), (1, 1, 0, 1)]
 
 
 def block_dwt53(block: np.ndarray) -> np.ndarray:
@@ -147,6 +147,11 @@ def block_dwt53(block: np.ndarray) -> np.ndarray:
     return lift_lines(lift_lines(block.T, FORWARD_53).T, FORWARD_53)
 
 
+def block_idwt53(block: np.ndarray) -> np.ndarray:
+    """The inverse of ``block_dwt53``."""
+    return lift_lines(lift_lines(block, INVERSE_53).T, INVERSE_53).T
+
+
 def dwt53_blocks(blocks: DataFrame) -> DataFrame:
     """The block form: rows (image_id, comp, tile, w, h, data ARRAY<INT>) are transformed in Arrow batches, with no shuffle."""
     import pyarrow as pa

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.operators import blocks as B, coding as K, packets as P, point, select as S, tiles as T, wavelet as Wv
+from tessera.operators import blocks as B, codec, coding as K, packets as P, point, select as S, tiles as T, wavelet as Wv
 from tessera.plans import rasters as R
 from tessera.plans.containers import SEGMENTS, files, streams
 from tessera.plans.queries import query
@@ -17,7 +17,16 @@ from tessera.sources import markers as M, rasterfiles as RF
 @query(sql("emb", "select y, x, v from emb"))
 def ebcot_roundtrip(spark, d):
     """Blocks of 32 by 32 samples, coded and decoded."""
-    return B.decode_samples(B.encode_samples(R.emb_grid(spark, d), 32, "HL"), 32, "HL").select("y", "x", "v")
+    return B.decode_samples(B.encode_samples(R.emb_grid(spark, d), 32, "HL"), "HL").select("y", "x", "v")
+
+
+@query(sql("wide", ", size as (select max(y) h from wide), grid as (select x, y from range(0, 128) a(x), range(0, (select h + 1 from size)) b(y)) select x, y, coalesce(r, 0) r, coalesce(g, 0) g, coalesce(b, 0) b from grid left join wide using (x, y)"))
+def codec_roundtrip(spark, d):
+    """A whole image: colour transform, tiles of 32 by 32, two wavelet levels, coded blocks, and back; what the ragged last line lacks is 0."""
+    wide = R.rgb_wide(spark, d)
+    grid = spark.range(128 * (wide.agg(F.max("y")).first()[0] + 1)).select((F.col("id") % 128).alias("x"), F.floor(F.col("id") / 128).cast("long").alias("y"))
+    whole = grid.join(wide, ["x", "y"], "left").select("x", "y", *(F.coalesce(c, F.lit(0)).alias(c) for c in "rgb"))
+    return codec.expand(codec.compress(whole, 8, 32, 2, 16), 8)
 
 
 def _symbols(spark, d) -> DataFrame:

@@ -86,3 +86,20 @@ def test_bmp_and_pam(n, w, h):
     planes = np.random.default_rng(6).integers(0, 256, (n, h, w))
     assert np.array_equal(RF.decode_bmp(RF.encode_bmp(planes))[0], planes) and np.array_equal(RF.decode_pam(RF.encode_pam(planes, 8))[0], planes)
     assert np.array_equal(RF.decode_pam(RF.encode_pam(planes * 16, 12))[0], planes * 16)
+
+
+def test_reduced_and_truncated_images(spark):
+    """Sides of tiles are halved; leaving passes out costs little; every tile size with odd edges comes back."""
+    from tessera.operators import codec
+
+    rng = np.random.default_rng(8)
+    h, w = 37, 45
+    base = (np.add.outer(np.arange(h) * 3, np.arange(w) * 2) + rng.integers(0, 9, (h, w))) % 256
+    rows = [(x, y, int(base[y, x]), int(255 - base[y, x]), int(base[y, x] // 2)) for y in range(h) for x in range(w)]
+    coded = codec.compress(spark.createDataFrame(rows, "x long, y long, r long, g long, b long"), 8, 16, 2, 8).cache()
+    assert sorted(tuple(r) for r in codec.expand(coded, 8).collect()) == sorted(rows)
+    for r in (1, 2):
+        small = codec.expand(coded, 8, reduce=r)
+        assert {(a.x, a.y) for a in small.collect()} == {(x, y) for y in range(-(-h // (1 << r))) for x in range(-(-w // (1 << r)))}
+    near = {(a.x, a.y): a.g for a in codec.expand(coded, 8, drop=3).collect()}
+    assert 0 < np.mean([abs(near[x, y] - g) for x, y, _, g, _ in rows]) < 6
