@@ -383,9 +383,10 @@ def keep(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, key: str = "do
         name += "_"
     named = docs.withColumn(name, F.xxhash64(key, text))
     groups = components(named, name, text, n, threshold).where("n_shingles > 0")
-    several = groups.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").select("component_id")
-    inside = groups.select(F.col(name).alias("row"), "component_id").join(several, "component_id")
-    members = materialise(inside.groupBy("row", "component_id").agg(F.count("*").alias("copies")), "group-rows")
+    rows = materialise(groups.groupBy(F.col(name).alias("row"), "component_id").agg(F.count("*").alias("copies")), "group-rows")
+    # A group's head stands for it by name; whether it has others is asked by row, so no large group meets in one task.
+    heads = rows.where("row != component_id").select(F.col("component_id").alias("row")).distinct()
+    members = materialise(rows.where("row != component_id or copies > 1").unionByName(rows.where("row = component_id and copies = 1").join(heads, "row", "left_semi")), "group-members")
     ids = named.select(F.col(name).alias("row"), F.col(key).alias("id")).join(members.select("row"), "row", "left_semi").groupBy("row").agg(F.min("id").alias("id"))
     first = members.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("best"))
     kept = materialise(first.select(F.col("best.row").alias("row")).join(members, "row").select("row", "copies"), "group-heads")
