@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, with checks for copies and paraphrases.
 
 Passages (runs of ``PASSAGE`` words) are TF-IDF rows over hashed terms. Document frequencies are counted over all passages of all
-documents. The index is fitted on the passages of at most ``FIT_DOCS`` documents (those with the least id hash): a randomised sketch
-Z = A'A O of their Gram matrix, with a fixed random O, is summed over the tasks, and from it follow the leading right singular
-vectors (Nystroem form of the randomised SVD). Every passage of every document is searched. Words are then projected, windows of words are sums of
+documents, and the index is fitted on all of them too: a randomised sketch Z = A'A O of their Gram matrix, with a fixed random O, is
+summed over the tasks, and from it follow the leading right singular vectors (Nystroem form of the randomised SVD). Every passage of
+every document is searched. Words are then projected, windows of words are sums of
 projections, and windows of about an item's own length, or of a part's, at most a quarter of it apart, are compared with it by cosine. Candidates of at least
 ``COSINE`` are checked: the longest common subsequence of their words with the item's must hold ``VERBATIM`` of the item, or
 ``PARAPHRASE`` of it together with its answer (its ``answer`` column, or else its last words).
@@ -49,17 +49,41 @@ ANSWER_SHARE = 0.6
 #: Items that are sent to the tasks at once, and that are multiplied at once.
 ITEMS = 16384
 TILE = 512
-#: Documents whose passages the index is fitted on.
-FIT_DOCS = 20_000
+#: Words whose rows are summed at a time for the sketch, so that they stay in the cache.
+SKETCH_WORDS = 1024
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
 SKETCH = ", ".join(f"c{j} double" for j in range(RANK + OVERSAMPLE))
 
 
+@dataclass
+class _Some:
+    """Words picked from a text, one after another."""
+
+    buf: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def _cores(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """What ``cores`` gives; words between two letters a-z are left as they are without a look at their inside."""
+    starts, ends = words.starts.copy(), words.ends.copy()
+    odd = np.flatnonzero(~(_LETTER[words.buf[starts]] & _LETTER[words.buf[ends - 1]]))
+    if len(odd):
+        size = ends[odd] - starts[odd]
+        stop = np.cumsum(size)
+        shift = starts[odd] - (stop - size)
+        lo, hi = cores(_Some(words.buf[np.arange(stop[-1]) + np.repeat(shift, size)], stop - size, stop))
+        starts[odd], ends[odd] = lo + shift, hi + shift
+    return starts, ends
+
+
 def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     """Words and their hashes, without marks at their ends."""
     words = Words(buf, offsets)
     if not len(words):
         return words, np.zeros(0, np.uint64)
-    starts, ends = cores(words)
+    starts, ends = _cores(words)
     empty = ends <= starts
     return words, words.hashes(starts=np.where(empty, words.starts, starts), ends=np.where(empty, words.ends, ends))
 
@@ -116,8 +140,8 @@ def sketch(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "t
     weight = idf.astype(np.float32)
 
     def run(batches):
-        omega = random_test_matrix()
-        total = np.zeros((TERMS, omega.shape[1]))
+        omega = np.vstack([random_test_matrix() * weight[:, None], np.zeros((1, RANK + OVERSAMPLE), np.float32)])
+        total, ones = np.zeros((TERMS, RANK + OVERSAMPLE)), np.ones((1, PASSAGE), np.float32)
         for batch in batches:
             for _, _, buf, offsets in slices(batch.column("body")):
                 words, h = _words(buf, offsets)
@@ -125,13 +149,23 @@ def sketch(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "t
                 if not len(term):
                     continue
                 w = count.astype(np.float32) * weight[term]
-                head = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-                norm = np.sqrt(np.add.reduceat(w * w, head))
-                w /= np.maximum(norm, 1e-6)[passage]
-                y = np.add.reduceat(omega[term] * w[:, None], head)
-                order = np.argsort(term, kind="stable")
-                rows, first = np.unique(term[order], return_index=True)
-                total[rows] += np.add.reduceat(y[passage[order]] * w[order, None], first)
+                norm = np.sqrt(np.add.reduceat(w * w, np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))))
+                # Each word adds its row, so that no counts are needed from here on.
+                own, padded = _passages(words), np.append(_terms(h), TERMS)
+                first = np.searchsorted(own, np.arange(len(norm) + 1))
+                y = np.empty((len(norm), RANK + OVERSAMPLE), np.float32)
+                for a in range(0, len(y), SKETCH_WORDS // PASSAGE):
+                    lo = first[a : a + SKETCH_WORDS // PASSAGE + 1, None]
+                    at = lo[:-1] + np.arange(PASSAGE)
+                    y[a : a + len(at)] = np.matmul(ones, omega.take(padded[np.where(at < lo[1:], at, len(h))], axis=0))[:, 0]
+                y /= np.square(np.maximum(norm, 1e-6))[:, None]
+                order = np.argsort(padded[:-1].astype(np.int16), kind="stable")  # 14 bits, by radix
+                term, own = padded[order], own[order]
+                for a in range(0, len(term), SKETCH_WORDS):
+                    rows = term[a : a + SKETCH_WORDS]
+                    head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                    total[rows[head]] += np.add.reduceat(y.take(own[a : a + SKETCH_WORDS], axis=0), head, axis=0)
+        total *= weight[:, None]
         some = np.flatnonzero(np.abs(total).sum(1))
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, j]) for j in range(total.shape[1]))], names=["term", *(f"c{j}" for j in range(total.shape[1]))])
@@ -185,10 +219,7 @@ def project(docs: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndar
     """For each term its inverse document frequency times its row of the singular vectors, divided by the singular values."""
     df, n = document_frequencies(docs, key, text)
     idf = np.log((n + 1) / (df + 0.5))
-    own = docs.select(F.col(key).alias("fit_doc"), F.col(text).alias("fit_text"))
-    ids = own.select(F.col("fit_doc").alias("fit_key")).where("fit_key is not null").distinct().withColumn("rank", F.xxhash64("fit_key")).orderBy("rank", "fit_key").limit(FIT_DOCS).select("fit_key")
-    fitted = own.join(F.broadcast(ids), F.col("fit_doc") == F.col("fit_key"), "left_semi")
-    v, s = singular_vectors(sketch(fitted, idf, "fit_doc", "fit_text"))
+    v, s = singular_vectors(sketch(docs, idf, key, text))
     out = np.zeros((TERMS, RANK), np.float32)
     if len(s):
         out[:, : v.shape[1]] = idf[:, None] * v / np.maximum(s, s.max() * 1e-3)
