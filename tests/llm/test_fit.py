@@ -1,5 +1,6 @@
 """The index is fitted on every passage, whatever ids the rows have."""
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,3 +49,13 @@ def test_words_without_their_marks(words, odd):
     mine, plain = D._cores(both), D.cores(both)
     full = plain[1] > plain[0]
     assert np.array_equal(mine[1] > mine[0], full) and all(np.array_equal(a[full], b[full]) for a, b in zip(mine, plain))
+
+
+def test_stage_of_the_pipeline(spark, words, tmp_path):
+    """The pipeline's stage drops a contaminated row where hardly any row has an id."""
+    leak = words(30, 80_000)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{words(40, 80_001)} {leak}"), *((None, words(70, 81_000 + i)) for i in range(30))]
+    docs = spark.createDataFrame([*rows, (5, "short text")], "doc_id long, text string")
+    got = corpus_pipeline.benchmark_passages(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in got.collect()) == sorted([t for _, t in rows[1:]] + ["short text"])
