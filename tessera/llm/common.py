@@ -93,8 +93,6 @@ _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, d
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -126,7 +124,7 @@ class Words:
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         self.buf, self.offsets = buf, offsets
-        solid = ~_SPACE[buf]
+        solid = (buf != 0x20) & (buf - np.uint8(9) > 4)
         before = np.empty(len(buf) + 1, bool)
         before[0], before[1:] = False, solid
         cuts = offsets[(offsets > 0) & (offsets < len(buf))]
@@ -155,7 +153,9 @@ class Words:
     def _sum(self, lower: bool) -> np.ndarray:
         if lower not in self._sums:
             out = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.buf] * _power("up", len(self.buf))[: len(self.buf)], out=out[1:])
+            (_BYTE_LOWER if lower else _BYTE).take(self.buf, out=out[1:], mode="clip")  # in place, as fresh memory costs more than the sums
+            out[1:] *= _power("up", len(self.buf))[: len(self.buf)]
+            np.cumsum(out[1:], out=out[1:])
             self._sums[lower] = out
         return self._sums[lower]
 

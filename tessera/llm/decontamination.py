@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,12 @@ GRAIN = 4
 EXACT = 16
 #: Words between the starts of windows at most.
 STRIDE = 8
-#: Blocks that are searched at a time.
+#: Blocks that are summed, and candidates that are checked, at a time.
 CHUNK = 4096
+#: Places on which the words of items fall for the first of these checks.
+MARKS = 1 << 12
+#: Windows that are multiplied with the items at a time.
+WINDOWS = 2048
 #: Lengths of windows for parts of items; an item is also compared with the longest that is not much longer than itself.
 PARTS = (8, 16, 32, 64)
 COSINE = 0.5
@@ -53,6 +57,8 @@ TILE = 512
 SKETCH_WORDS = 1024
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
+_PLAIN = np.arange(256) < 128
+_PLAIN[65:91] = _PLAIN[97:123] = False
 SKETCH = ", ".join(f"c{j} double" for j in range(RANK + OVERSAMPLE))
 
 
@@ -66,9 +72,15 @@ class _Some:
 
 
 def _cores(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """What ``cores`` gives; words between two letters a-z are left as they are without a look at their inside."""
+    """What ``cores`` gives; words between two letters a-z, but for one ASCII mark at either end, are not looked at inside."""
     starts, ends = words.starts.copy(), words.ends.copy()
-    odd = np.flatnonzero(~(_LETTER[words.buf[starts]] & _LETTER[words.buf[ends - 1]]))
+    odd = np.flatnonzero(~(_LETTER.take(words.buf[starts]) & _LETTER.take(words.buf[ends - 1])))
+    if len(odd):
+        lo, hi = starts[odd], ends[odd]
+        hi -= _PLAIN.take(words.buf[hi - 1]) & (hi - lo > 1)
+        lo += _PLAIN.take(words.buf[lo]) & (hi - lo > 1)
+        starts[odd], ends[odd] = lo, hi
+        odd = odd[~(_LETTER.take(words.buf[lo]) & _LETTER.take(words.buf[hi - 1]))]
     if len(odd):
         size = ends[odd] - starts[odd]
         stop = np.cumsum(size)
@@ -92,37 +104,50 @@ def _terms(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(50)).astype(np.int64)  # 14 bits
 
 
-def _passages(words: Words) -> np.ndarray:
-    """The passage of each word, numbered through the slice."""
-    count = words.counts
+def _passages(count: np.ndarray) -> np.ndarray:
+    """The passage of each word, numbered through the slice. count: words of each text."""
     many = -(-count // PASSAGE)
-    at = np.arange(len(words)) - np.repeat(words.first[:-1], count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     return np.repeat(np.cumsum(many) - many, count) + at // PASSAGE
 
 
-def _cells(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cells(count: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passage, term and count of each cell that isn't 0."""
-    cells = np.sort((_passages(words) << 14) | _terms(h))
+    cells = np.sort((_passages(count) << 14) | terms)
     head = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
     return cells[head] >> 14, cells[head] & (TERMS - 1), np.diff(np.append(head, len(cells)))
 
 
-def document_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, int]:
-    """Passages that hold each term, and passages in all."""
+def terms_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A table that holds the terms of all words, two bytes each, and words a text, four bytes each, a row for each slice; and for each task the
+    passages that hold each term, and those in all under term -1."""
 
     def run(batches):
         total, n = np.zeros(TERMS, np.int64), 0
         for batch in batches:
             for _, _, buf, offsets in slices(batch.column("body")):
                 words, h = _words(buf, offsets)
-                passage, term, _ = _cells(words, h)
+                if not len(words):
+                    continue
+                count = words.counts[words.counts > 0]
+                passage, term, _ = _cells(count, _terms(h))
                 total += np.bincount(term, minlength=TERMS)
-                n += int(passage[-1]) + 1 if len(passage) else 0
+                n += int(passage[-1]) + 1
+                yield batch_of([None], [None], [_terms(h).astype("<u2").tobytes()], [count.astype("<u4").tobytes()])
         if n:
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["term", "n"])
+            yield batch_of(np.append(some, -1), np.append(total[some], n), [None] * (len(some) + 1), [None] * (len(some) + 1))
+
+    def batch_of(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["term", "n", "terms", "counts"])
+
+    return materialise(text_of(docs, key, text, lower=True).mapInArrow(run, "term long, n long, terms binary, counts binary"), "terms")
+
 
-    got = text_of(docs, key, text, lower=True).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+def document_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> tuple[np.ndarray, int]:
+    """Passages that hold each term, and passages in all. known: ``terms_of`` the rows, if it is at hand."""
+    known = terms_of(docs, key, text) if known is None else known
+    got = known.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out, n = np.zeros(TERMS), 0
     if len(got):
         inner = got["term"].to_numpy() >= 0
@@ -135,32 +160,45 @@ def random_test_matrix(columns: int = RANK + OVERSAMPLE) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(4096)).standard_normal((TERMS, columns)).astype(np.float32)
 
 
-def sketch(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Z = A'A O over all passages, rows of A of unit length."""
+def sketch(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> np.ndarray:
+    """Z = A'A O over all passages, rows of A of unit length. known: ``terms_of`` the rows, if it is at hand."""
     weight = idf.astype(np.float32)
 
     def run(batches):
         omega = np.vstack([random_test_matrix() * weight[:, None], np.zeros((1, RANK + OVERSAMPLE), np.float32)])
         total, ones = np.zeros((TERMS, RANK + OVERSAMPLE)), np.ones((1, PASSAGE), np.float32)
         for batch in batches:
-            for _, _, buf, offsets in slices(batch.column("body")):
-                words, h = _words(buf, offsets)
-                passage, term, count = _cells(words, h)
-                if not len(term):
-                    continue
+            for row in range(len(batch)):
+                held = np.frombuffer(batch.column("terms")[row].as_buffer(), "<u2").astype(np.int64)
+                counts = np.frombuffer(batch.column("counts")[row].as_buffer(), "<u4").astype(np.int64)
+                passage, term, count = _cells(counts, held)
                 w = count.astype(np.float32) * weight[term]
                 norm = np.sqrt(np.add.reduceat(w * w, np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))))
                 # Each word adds its row, so that no counts are needed from here on.
-                own, padded = _passages(words), np.append(_terms(h), TERMS)
+                own, padded = _passages(counts), np.append(held, TERMS)
                 first = np.searchsorted(own, np.arange(len(norm) + 1))
                 y = np.empty((len(norm), RANK + OVERSAMPLE), np.float32)
                 for a in range(0, len(y), SKETCH_WORDS // PASSAGE):
                     lo = first[a : a + SKETCH_WORDS // PASSAGE + 1, None]
                     at = lo[:-1] + np.arange(PASSAGE)
-                    y[a : a + len(at)] = np.matmul(ones, omega.take(padded[np.where(at < lo[1:], at, len(h))], axis=0))[:, 0]
+                    y[a : a + len(at)] = np.matmul(ones, omega.take(padded.take(np.where(at < lo[1:], at, len(held))), axis=0))[:, 0]
                 y /= np.square(np.maximum(norm, 1e-6))[:, None]
                 order = np.argsort(padded[:-1].astype(np.int16), kind="stable")  # 14 bits, by radix
                 term, own = padded[order], own[order]
+                # Words of one term in groups of a passage's size are summed by a product, which is faster than the sum of what remains.
+                head = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+                size = np.diff(np.append(head, len(term)))
+                full = size // PASSAGE
+                before = np.cumsum(full) - full
+                start = np.repeat(head - before * PASSAGE, full) + np.arange(full.sum()) * PASSAGE
+                sums = np.empty((len(start), RANK + OVERSAMPLE), np.float32)
+                for a in range(0, len(start), SKETCH_WORDS // PASSAGE):
+                    at = start[a : a + SKETCH_WORDS // PASSAGE, None] + np.arange(PASSAGE)
+                    sums[a : a + len(at)] = np.matmul(ones, y.take(own[at], axis=0))[:, 0]
+                if len(sums):
+                    total[term[head[full > 0]]] += np.add.reduceat(sums, before[full > 0], axis=0)
+                rest = np.arange(len(term)) >= np.repeat(head + full * PASSAGE, size)
+                term, own = term[rest], own[rest]
                 for a in range(0, len(term), SKETCH_WORDS):
                     rows = term[a : a + SKETCH_WORDS]
                     head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
@@ -170,7 +208,8 @@ def sketch(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str = "t
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, j]) for j in range(total.shape[1]))], names=["term", *(f"c{j}" for j in range(total.shape[1]))])
 
-    parts = text_of(docs, key, text, lower=True).mapInArrow(run, "term long, " + SKETCH)
+    known = terms_of(docs, key, text) if known is None else known
+    parts = known.where(F.col("term").isNull()).select("terms", "counts").mapInArrow(run, "term long, " + SKETCH)
     got = parts.groupBy("term").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(RANK + OVERSAMPLE))).toPandas()
     z = np.zeros((TERMS, RANK + OVERSAMPLE))
     if len(got):
@@ -214,12 +253,20 @@ class Items:
             out = np.where(self.vocabulary[here] == h, here, out)
         return out
 
+    @cached_property
+    def marks(self) -> np.ndarray:
+        """For each item a row of ``MARKS`` + 1 places: whether the item holds a word of the vocabulary that falls on a place, from place 1 on."""
+        out = np.zeros((len(self.ids), MARKS + 1), bool)
+        out[self.held // len(self.vocabulary), 1 + self.held % len(self.vocabulary) % MARKS] = True
+        return out
+
 
 def project(docs: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """For each term its inverse document frequency times its row of the singular vectors, divided by the singular values."""
-    df, n = document_frequencies(docs, key, text)
+    known = terms_of(docs, key, text)
+    df, n = document_frequencies(docs, key, text, known)
     idf = np.log((n + 1) / (df + 0.5))
-    v, s = singular_vectors(sketch(docs, idf, key, text))
+    v, s = singular_vectors(sketch(docs, idf, key, text, known))
     out = np.zeros((TERMS, RANK), np.float32)
     if len(s):
         out[:, : v.shape[1]] = idf[:, None] * v / np.maximum(s, s.max() * 1e-3)
@@ -304,42 +351,62 @@ def _starts(first: np.ndarray, many: np.ndarray, size: int, grain: int) -> np.nd
     return first[text] + np.minimum((np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * step, last[text])
 
 
-def _sums(values: np.ndarray) -> np.ndarray:
-    """Running sums along the last axis, from 0."""
-    out = np.zeros((*values.shape[:-1], values.shape[-1] + 1), values.dtype)
-    np.cumsum(values, axis=-1, out=out[..., 1:])
-    return out
-
-
 def _alike(blocks: np.ndarray, starts: dict[int, np.ndarray], of: dict[int, tuple[int, int]], vectors: np.ndarray):
     """size (in blocks), start blocks and items of the windows that have the cosine that is asked for. of: the range of items for each size.
 
-    A window's product with an item is a difference of running sums over blocks, and so is its norm, from products of near blocks.
+    Windows are summed by size, each size from the one below, and multiplied with the items of that size while they are in the cache.
     """
-    most, top = max(of), max(x for _, x in of.values())
-    for lo in range(0, len(blocks), CHUNK):
-        part = blocks[lo : lo + CHUNK + most]
-        near = [_sums(np.einsum("ij,ij->i", part[: len(part) - k], part[k:]).astype(float)) for k in range(min(most, len(part)))]
-        needs = {}
-        for size in of:
+    most = max(of)
+    for lo in range(0, len(blocks), WINDOWS):
+        part = blocks[lo : lo + WINDOWS + most]
+        sums, held = part, 1
+        for size in sorted(of):
+            n = min(WINDOWS, len(part) - size + 1)
+            if n <= 0:
+                break
+            sums = sums[: len(part) - size + 1].copy() if held == 1 else sums[: len(part) - size + 1]
+            for k in range(held, size):
+                sums += part[k : k + len(sums)]
+            held = size
             at = starts[size]
-            at = at[np.searchsorted(at, lo) : np.searchsorted(at, lo + CHUNK)] - lo
-            n = min(CHUNK, len(part) - size + 1)
-            at = at[at < n]
-            norm = np.zeros(len(at))
-            for k in range(min(size, len(near))):
-                norm += (1 + (k > 0)) * (near[k][at + size - k] - near[k][at])
-            needs[size] = np.full(max(n, 0), np.inf, np.float32)
-            needs[size][at] = COSINE * np.sqrt(np.maximum(norm, 1e-12))
-        for a in range(min(x for x, _ in of.values()), top, TILE):
-            dots = _sums(vectors[a : min(a + TILE, top)] @ part.T)
-            for size, need in needs.items():
-                b, n = max(of[size][0], a), len(need)
-                rows = dots[b - a : max(of[size][1] - a, 0)]
-                if n and len(rows):
-                    hit = np.flatnonzero(rows[:, size : size + n] - rows[:, :n] >= need)
-                    if len(hit):
-                        yield size, hit % n + lo, hit // n + b
+            at = at[np.searchsorted(at, lo) : np.searchsorted(at, lo + n)] - lo
+            if not len(at):
+                continue
+            own = sums[:n] if len(at) == n else sums[at]
+            need = COSINE * np.sqrt(np.maximum(np.einsum("ij,ij->i", own, own), 1e-12))[:, None]
+            for a in range(*of[size], TILE):
+                tile = vectors[a : min(a + TILE, of[size][1])]
+                hit = np.flatnonzero(own @ tile.T >= need)
+                if len(hit):
+                    yield size, at[hit // len(tile)] + lo, hit % len(tile) + a
+
+
+def _joined(hits):
+    """size, block and item of hits, ``CHUNK`` of them or more at a time."""
+    some, n = [], 0
+    for size, block, item in hits:
+        some.append((np.full(len(block), size), block, item))
+        n += len(block)
+        if n >= CHUNK:
+            yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
+            some, n = [], 0
+    if some:
+        yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
+
+
+def _held(place: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
+    """For each region place[lo:hi], none of them empty, at least as many words as ``_bounds`` gives: those that fall on a place that the item marks."""
+    out = np.zeros(len(lo), np.int64)
+    marks = items.marks.view(np.uint8).ravel()
+    for a in range(0, len(lo), CHUNK):
+        b0, b1 = lo[a : a + CHUNK], hi[a : a + CHUNK]
+        n = b1 - b0
+        ends = np.cumsum(n)
+        at = np.ones(ends[-1], np.int64)
+        at[0], at[ends[:-1]] = b0[0], b0[1:] - b1[:-1] + 1
+        word = place.take(np.cumsum(at, out=at))
+        out[a : a + CHUNK] = np.add.reduceat(marks.take(np.repeat(item[a : a + CHUNK] * (MARKS + 1), n) + np.where(word < 0, 0, 1 + word % MARKS)), ends - n, dtype=np.int32)
+    return out
 
 
 def _bounds(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
@@ -379,13 +446,14 @@ def matches(words: Words, h: np.ndarray, items: Items, projection: np.ndarray) -
         of = {int(x) // grain: _range((items.window == x) | (items.part == x)) for x in sizes if grain_of(int(x)) == grain}
         blocks, first, many = _blocks(words, term, padded, grain, max(of))
         starts = {size: _starts(first, many, size * grain, grain) for size in of}
-        for size, block, item in _alike(blocks, starts, of, items.vectors):
+        for size, block, item in _joined(_alike(blocks, starts, of, items.vectors)):
             text = np.searchsorted(first, block, side="right") - 1
             lo = words.first[text] + (block - first[text]) * grain
             long = size * grain
-            pad = np.maximum(0, lengths[item] - long) + max(BLOCK, long // 4)
+            pad = np.maximum(0, lengths[item] - long) + np.maximum(BLOCK, long // 4)
             b0, b1 = np.maximum(words.first[text], lo - pad), np.minimum(words.first[text + 1], lo + long + pad)
-            for c in np.flatnonzero(_bounds(place, b0, b1, item, items) >= PARAPHRASE * lengths[item]):
+            some = np.flatnonzero(_held(place, b0, b1, item, items) >= PARAPHRASE * lengths[item])
+            for c in some[_bounds(place, b0[some], b1[some], item[some], items) >= PARAPHRASE * lengths[item[some]]]:
                 i, t = int(item[c]), int(text[c])
                 own, before = items.words[i], best.get((t, i), (0.0,))[0]
                 if before >= 1:
