@@ -725,7 +725,7 @@ def mj2_decompact(spark, d):
 @query(sql("wide", ", size as (select max(y) h from wide), grid as (select x, y from range(0, 128) a(x), range(0, (select h + 1 from size)) b(y)) select c comp, g.y, g.x, coalesce(case c when 0 then r when 1 then w.g else b end, 0) v from grid g left join wide w using (x, y), unnest([0, 1, 2]) t(c)"))
 def pnm_roundtrip(spark, d):
     """Samples to a PNM file's bytes and back; what the ragged last line lacks is 0."""
-    files = RF.to_files(R.rgb_img(spark, d), 8)
+    files = RF.to_parts(R.rgb_img(spark, d), 8)
     return RF.read_samples(files.withColumnRenamed("name", "path")).select("comp", "y", "x", "v")
 
 
