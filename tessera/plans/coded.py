@@ -90,7 +90,7 @@ def bmp_roundtrip(spark, d):
 
 @query(sql("wide", _GRID))
 def pam_roundtrip(spark, d):
-    return RF.read_samples(RF.to_files(R.rgb_img(spark, d), 8, kind="pam").withColumnRenamed("name", "path")).select("comp", "y", "x", "v")
+    return RF.read_samples(RF.to_parts(R.rgb_img(spark, d), 8, kind="pam").withColumnRenamed("name", "path")).select("comp", "y", "x", "v")
 
 
 @query(sql("regions", ", r as (select region k from regions), f as (select k, i, i // (k + 1) chunk from r, range(0, 3) t(i)) select k::varchar path, i::bigint frame, (k * 5000 + chunk * 77 + coalesce((select sum(k * 1000 + j) from range(0, 3) u(j) where j >= chunk * (k + 1) and j < i), 0))::bigint \"offset\", (k * 1000 + i)::bigint as size from f where chunk < 2"))

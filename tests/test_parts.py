@@ -38,9 +38,15 @@ def test_pnm(spark, small_parts, n, prec):
     check(spark, "pnm", n, prec)
 
 
-def test_no_task_holds_an_image(spark, small_parts):
-    """pnm_roundtrip's file is cut, so it isn't one group's work."""
-    plan = catalog.queries()["pnm_roundtrip"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_pam(spark, small_parts, n):
+    check(spark, "pam", n, 8)
+
+
+@pytest.mark.parametrize("name", ["pnm_roundtrip", "pam_roundtrip"])
+def test_no_task_holds_an_image(spark, small_parts, name):
+    """The query's file is cut, so it isn't one group's work."""
+    plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" in plan
 
 
