@@ -85,7 +85,7 @@ _GRID = ", size as (select max(y) h from wide), grid as (select x, y from range(
 @query(sql("wide", _GRID))
 def bmp_roundtrip(spark, d):
     """Samples to an uncompressed BMP file and back."""
-    return RF.read_samples(RF.to_files(R.rgb_img(spark, d), 8, kind="bmp").withColumnRenamed("name", "path")).select("comp", "y", "x", "v")
+    return RF.read_samples(RF.to_parts(R.rgb_img(spark, d), 8, kind="bmp").withColumnRenamed("name", "path")).select("comp", "y", "x", "v")
 
 
 @query(sql("wide", _GRID))
