@@ -110,7 +110,7 @@ def header_dump(spark, d):
 def split_components(spark, d):
     """Each component as a file of its own, and back."""
     img = R.rgb_img(spark, d).withColumn("image_id", F.concat_ws("-", "image_id", "comp")).withColumn("comp", F.lit(0))
-    return RF.read_samples(RF.to_files(img, 8).withColumnRenamed("name", "path")).select("path", "y", "x", "v")
+    return RF.read_samples(RF.to_parts(img, 8).withColumnRenamed("name", "path")).select("path", "y", "x", "v")
 
 
 # ------------------------------------------------------------ colour

@@ -48,7 +48,7 @@ def test_bmp(spark, small_parts, n):
     check(spark, "bmp", n, 8)
 
 
-@pytest.mark.parametrize("name", ["pnm_roundtrip", "pam_roundtrip", "bmp_roundtrip"])
+@pytest.mark.parametrize("name", ["pnm_roundtrip", "pam_roundtrip", "bmp_roundtrip", "split_components"])
 def test_no_task_holds_an_image(spark, small_parts, name):
     """The query's file is cut, so it isn't one group's work."""
     plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
