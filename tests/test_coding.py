@@ -103,3 +103,52 @@ def test_reduced_and_truncated_images(spark):
         assert {(a.x, a.y) for a in small.collect()} == {(x, y) for y in range(-(-h // (1 << r))) for x in range(-(-w // (1 << r)))}
     near = {(a.x, a.y): a.g for a in codec.expand(coded, 8, drop=3).collect()}
     assert 0 < np.mean([abs(near[x, y] - g) for x, y, _, g, _ in rows]) < 6
+
+
+def test_many_tag_trees_at_once(spark):
+    """The same bytes and values as tree by tree; sides of any size, gaps, equal values (bytes of ones)."""
+    from tessera.operators import coding
+
+    rng = random.Random(11)
+    rows, sizes = [], {}
+    for t in range(150):
+        w, h, top = rng.randrange(1, 12), rng.randrange(1, 12), rng.choice([1, 2, 9, 40])
+        own = [(t, y, x, rng.randrange(top)) for y in range(h) for x in range(w) if rng.random() < rng.choice([0.5, 1, 1])] or [(t, 0, 0, 3)]
+        w, h = max(r[2] for r in own) + 1, max(r[1] for r in own) + 1
+        grid = [0] * (w * h)
+        for _, y, x, v in own:
+            grid[y * w + x] = v
+        out, tree = coding.BitWriter(), TagTree(w, h, grid)
+        for _, y, x, v in own:
+            for k in range(1, v + 2):
+                tree.put(out, x, y, k)
+        sizes[t] = len(out.flush())
+        rows += own
+    tree, y, x, v = np.array(rows).T
+    back, n = coding.code_tag_trees(tree, y, x, v)
+    assert np.array_equal(back, v) and n.tolist() == [sizes[t] for t in tree]
+    # Groups that end within a batch, at its end and beyond it.
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"tree": tree[i : i + 50]}) for i in range(0, len(tree), 50)]
+    tables = list(coding.whole_groups(iter(batches), "tree", 120))
+    assert len(tables) > 3 and np.array_equal(np.concatenate([a.column("tree").to_numpy() for a in tables]), tree)
+    assert all(a.column("tree")[-1] != b.column("tree")[0] for a, b in zip(tables, tables[1:]))
+
+
+def test_stuffed_at_once():
+    from tessera.operators import coding
+
+    rng = random.Random(12)
+    strings = [[int(rng.random() < p) for _ in range(rng.choice([0, 1, 7, 8, 9, 16, 90]))] for p in (0.5, 0.95, 1.0) for _ in range(60)]
+    data, sizes = coding.stuff(np.array(sum(strings, []), np.uint8), np.array([len(s) for s in strings]))
+    at = 0
+    for s, n in zip(strings, sizes):
+        out = BitWriter()
+        for b in s:
+            out.put(b)
+        assert bytes(data[at : at + n]) == out.flush()
+        at += n
+    bits, counts, _ = coding.unstuff(data, sizes)
+    for s, end, n in zip(strings, np.cumsum(counts), counts):
+        assert bits[end - n : end][: len(s)].tolist() == s
