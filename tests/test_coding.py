@@ -152,3 +152,36 @@ def test_stuffed_at_once():
     bits, counts, _ = coding.unstuff(data, sizes)
     for s, end, n in zip(strings, np.cumsum(counts), counts):
         assert bits[end - n : end][: len(s)].tolist() == s
+
+
+def test_many_headers_at_once():
+    """The same bytes and fields as precinct by precinct; any number of blocks and layers, empty packets, all lengths of passes."""
+    rng = random.Random(13)
+    rows, want, sizes = [], [], 0
+    for t in range(80):
+        n, layers = rng.choice([1, 2, 3, 4, 5, 8, 9, 12, 23]), rng.randrange(1, 7)
+        zero = [rng.randrange(12) for _ in range(n)]
+        own = [(t, k, i, zero[i], rng.choice([0, 1, 2, 4, 20, 36, 37, 120]) if rng.random() < 0.6 else 0) for k in range(layers) for i in range(n) if rng.random() < 0.9] or [(t, 0, 0, 3, 1)]
+        own = [(*r, rng.choice([0, 1, 255, 65535, 400_000]) if r[4] else 0) for r in own]
+        rows += own
+        n, layers = max(r[2] for r in own) + 1, max(r[1] for r in own) + 1
+        w, h = min(n, 4), -(-n // 4)
+        grid = [[(0, 0)] * (w * h) for _ in range(layers)]
+        planes, first = [0] * (w * h), [layers] * (w * h)
+        for _, k, i, z, p, s in own:
+            grid[k][i], planes[i] = (p, s), z
+            if p:
+                first[i] = min(first[i], k)
+        out, back = B.Precinct.new(w, h, first, planes), B.Precinct.new(w, h)
+        for k in range(layers):
+            data = B.write_packet_header(out, k, grid[k])
+            sizes += len(data)
+            want += [(t, k, i, *f) for i, f in enumerate(B.read_packet_header(back, k, data)[0]) if f[1]]
+    written = []
+    stuff, B.stuff = B.stuff, lambda *a: written.append(stuff(*a)) or written[-1]
+    try:
+        got = B.code_headers(*np.array(rows).T)
+    finally:
+        B.stuff = stuff
+    assert sorted(zip(*(c.tolist() for c in got))) == sorted(want)
+    assert sum(len(data) for data, _ in written) == sizes
