@@ -18,6 +18,11 @@ BANDS = {"LL": (0, 0), "HL": (0, 1), "LH": (1, 0), "HH": (1, 1)}
 BLOCKS = "tile long, y0 long, x0 long, th int, tw int, comp int, level int, band string, by int, bx int, w int, h int, planes int, passes int, data binary"
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Over all shuffle partitions: a tile's coding takes long for its few bytes, by which partitions would be put together for a few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile")
+
+
 def compress(pixels: DataFrame, prec: int, tile: int, levels: int = 2, size: int = 64) -> DataFrame:
     """Coded blocks of an image (x, y, r, g, b); what a tile's rectangle lacks is 0. tile: the side of a tile, a multiple of 2 to the power of ``levels``."""
     if tile % (1 << levels):
@@ -46,7 +51,7 @@ def compress(pixels: DataFrame, prec: int, tile: int, levels: int = 2, size: int
 
     ship(pixels.sparkSession)
     number = F.floor(F.col("y") / tile).cast("long") * (1 << 20) + F.floor(F.col("x") / tile).cast("long")
-    return pixels.select("x", "y", "r", "g", "b", number.alias("tile")).groupBy("tile").applyInPandas(build, BLOCKS)
+    return _spread(pixels.select("x", "y", "r", "g", "b", number.alias("tile"))).groupBy("tile").applyInPandas(build, BLOCKS)
 
 
 def expand(blocks: DataFrame, prec: int, reduce: int = 0, drop: int = 0) -> DataFrame:
@@ -83,4 +88,4 @@ def expand(blocks: DataFrame, prec: int, reduce: int = 0, drop: int = 0) -> Data
         return pd.DataFrame({"x": at[1] + -(-int(one.x0) // step), "y": at[0] + -(-int(one.y0) // step), **{n: planes[c].reshape(-1) for c, n in enumerate("rgb")}})
 
     ship(blocks.sparkSession)
-    return blocks.groupBy("tile").applyInPandas(build, "x long, y long, r long, g long, b long")
+    return _spread(blocks).groupBy("tile").applyInPandas(build, "x long, y long, r long, g long, b long")

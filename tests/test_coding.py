@@ -185,3 +185,26 @@ def test_many_headers_at_once():
         B.stuff = stuff
     assert sorted(zip(*(c.tolist() for c in got))) == sorted(want)
     assert sum(len(data) for data, _ in written) == sizes
+
+
+def test_block_coder_in_one_loop():
+    """The same bytes and bits as the coder that goes symbol by symbol, and beyond the end of data that is cut off."""
+    from tessera.operators import coding
+
+    rng = random.Random(14)
+    for n in (0, 1, 2, 300, 5000):
+        for p in (0.02, 0.5, 0.98):
+            contexts, bits = [rng.randrange(19) for _ in range(n)], [int(rng.random() < p) for _ in range(n)]
+            data = coding.block_encode([2 * c + b for c, b in zip(contexts, bits)])
+            assert data == mq_encode(bits, contexts)
+            for cut in (data, data[: len(data) // 2], b""):
+                get = coding.block_reader(cut)
+                assert [get(c) for c in contexts] == mq_decode(cut, contexts)
+
+
+def test_tiles_keep_their_tasks(spark):
+    """Tiles are few bytes and long work: both sides of the codec keep all shuffle partitions, where Spark would put small ones together."""
+    from tessera.operators import codec
+
+    px = spark.range(64 * 64).selectExpr("id % 64 as x", "id div 64 as y", "id % 251 as r", "id % 7 as g", "id % 13 as b")
+    assert codec.expand(codec.compress(px, 8, 16, 2, 8), 8).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
